@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import near_dedup
+from . import line_dedup, mixing, near_dedup, packing, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op3_packing": packing.op3_packing,
+    "op4_token_counts": token_counts.op4_token_counts,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
+    "op6_mixing": mixing.op6_mixing,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.ORACLE,
+    "op5_line_dedup": line_dedup.ORACLE,
+    "op6_mixing": mixing.ORACLE,
 }
