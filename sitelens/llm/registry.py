@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, near_dedup, packing, token_counts
+from . import fingerprints, line_dedup, mixing, near_dedup, packing, perplexity, token_counts
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
@@ -10,6 +10,8 @@ QUERIES = {
     "op4_token_counts": token_counts.op4_token_counts,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_mixing": mixing.op6_mixing,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
+    "op8_quality_rules": perplexity.op8_quality_rules,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": near_dedup.ORACLE,
