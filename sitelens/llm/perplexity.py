@@ -220,7 +220,7 @@ def quality_rules(docs: DataFrame, *, bands: float = 6.0, char_bands: float = 4.
     def inside(column: str, width: float) -> Column:
         low, middle, high = (F.col(f"q_{column}")[i] for i in range(3))
         spread = F.greatest((high - low) / 1.349, F.lit(0.01))
-        return F.coalesce(F.abs(F.col(column) - middle) <= width * spread * F.sqrt(1 + short / F.col("n_grams")), F.lit(True))
+        return F.coalesce(F.abs(F.col(column) - middle) <= width * spread * F.sqrt(1 + short / F.greatest(F.col("n_grams"), F.lit(1))), F.lit(True))
 
     out = scored.withColumn("kept", ~F.col("base_failed") & inside("log_ppl", bands) & inside("log_ppl_char", char_bands))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "log_ppl_char", "lang")
