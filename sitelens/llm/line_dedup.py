@@ -24,67 +24,80 @@ def _lines(text: Column) -> Column:
 
 
 def _folded(line: Column) -> Column:
-    return F.trim(F.regexp_replace(line, r"[\x09-\x0D ]+", " "))
+    unusual = line.contains("  ")
+    for c in "\t\r\x0b\x0c":
+        unusual = unusual | line.contains(c)
+    return F.trim(F.when(unusual, F.regexp_replace(line, r"[\x09-\x0D ]+", " ")).otherwise(line))
 
 
 def _words(folded: Column) -> Column:
     return F.when(folded == "", 0).otherwise(F.length(folded) - F.length(F.replace(folded, F.lit(" "), F.lit(""))) + 1)
 
 
+def _end(side: int, p: Column) -> Column:
+    """Hash of the first (side 0) or last (side 1) p words."""
+    return F.xxhash64(F.lit(side), p, F.call_function("substring_index", F.col("line"), F.lit(" "), -p if side else p))
+
+
+def small_enough(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` rows; else as it is, for a shuffled join."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def _rest(words: str, drop: str, at: str) -> Column:
     """The words without word number `at` where `drop`, else all."""
     w = F.col(words)
     return F.when(F.col(drop), F.concat(F.slice(w, F.lit(1), F.col(at)), F.slice(w, F.col(at) + 2, F.size(w)))).otherwise(w)
 
 
-def dropped_lines(docs: DataFrame, min_words: int = 8) -> DataFrame:
-    """(doc_id, h, gone): the numbers of the lines to drop, for each document that loses any; h = xxhash64(text)."""
+def dropped_lines(docs: DataFrame, min_words: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(doc_id, h, pos): the lines to drop; h = xxhash64(text)."""
     h = F.xxhash64("text")
     rows = docs.select("doc_id", h.alias("h"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
     rows = rows.select("doc_id", "h", "pos", _folded(F.col("line")).alias("line")).withColumn("n", _words(F.col("line"))).where(F.col("n") >= min_words)
-    sizes = F.array_distinct(F.transform(F.array(F.col("n") - 1, F.col("n"), F.col("n") + 1), lambda m: (m / 8).cast("int") * 4))
-    ends = F.flatten(F.transform(F.filter(sizes, lambda p: p > 0), lambda p: F.array(F.xxhash64(F.lit(0), p, F.call_function("substring_index", F.col("line"), F.lit(" "), p)), F.xxhash64(F.lit(1), p, F.call_function("substring_index", F.col("line"), F.lit(" "), -p)))))
-    rows = written(rows.select("doc_id", "h", "pos", F.xxhash64("line").alias("id"), "n", ends.alias("ends")), "lines")
+    rows = rows.withColumn("p", F.expr("int((n - 1) div 8) * 4")).withColumn("q", F.expr("int((n + 1) div 8) * 4"))
+    ends = [F.when(cond, _end(side, F.col(c))).alias(f"{c}{side}") for c, cond in (("p", F.col("p") > 0), ("q", F.col("q") > F.col("p"))) for side in (0, 1)]
+    rows = written(rows.select("doc_id", "h", "pos", F.xxhash64("line").alias("id"), "n", "p", "q", *ends), "lines")
     place = F.struct("doc_id", "h", "pos")
-    lines = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("ends").alias("ends")), "distinct_lines")
+    known = ("n", "p", "q", "p0", "p1", "q0", "q1")
+    lines = written(rows.groupBy("id").agg(F.min(place).alias("first"), F.count("*").alias("times"), *(F.first(c).alias(c) for c in known)), "distinct_lines")
 
-    ends = lines.select("id", F.explode("ends").alias("end"))
+    ends = F.array(*(F.struct(F.col(f"{c}{side}").alias("end"), F.col(c).alias("p"), F.lit(side).alias("side")) for c in "pq" for side in (0, 1)))
+    ends = lines.select("id", F.explode(ends).alias("e")).where("e.end is not null").select("id", "e.*")
     shared = ends.groupBy("end").agg(F.count("*").alias("m")).where("m > 1").select("end")
-    maybe = ends.join(shared, "end", "left_semi").select("id").distinct()
-    where = lines.join(maybe, "id", "left_semi").select("id", "first.*", "first")
-    where = where.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "pos", "first")).alias("wanted"))
-    texts = _joined(docs.select("doc_id", h.alias("h"), "text"), where)
-    texts = texts.select(_lines(F.col("text")).alias("all"), "wanted")
-    texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(w["id"].alias("id"), w["first"].alias("first"), F.split(_folded(F.col("all")[w["pos"]]), " ").alias("words")))).alias("x")).select("x.*")
+    # an edit lies past the shared first words, or before the shared last words
+    maybe = ends.join(shared, "end", "left_semi").groupBy("id").agg(F.min(F.when(F.col("side") == 0, F.col("p"))).alias("past"), F.min(F.when(F.col("side") == 1, F.col("p"))).alias("until"))
+    where = written(lines.select("id", "first").join(maybe, "id").select("id", "first.*", "first", "past", "until"), "maybe")
+    keys = where.select("doc_id", "h").distinct()
+    texts = _joined(docs.select("doc_id", h.alias("h"), "text"), small_enough(keys, broadcast_rows), "left_semi")
+    where = where.groupBy("doc_id", "h").agg(F.collect_list(F.struct("id", "pos", "first", "past", "until")).alias("wanted"))
+    texts = _joined(texts, where).select(_lines(F.col("text")).alias("all"), "wanted")
+    texts = texts.select(F.explode(F.transform("wanted", lambda w: F.struct(*(w[c].alias(c) for c in ("id", "first", "past", "until")), F.split(_folded(F.col("all")[w["pos"]]), " ").alias("words")))).alias("x")).select("x.*")
     texts = written(texts.dropDuplicates(["id"]), "candidates")
 
-    words = texts.select("id", "first", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
+    words = texts.select("id", "first", "past", "until", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
     words = words.withColumn("front", F.xxhash64("word", "i")).withColumn("back", F.xxhash64("word", F.col("n") - F.col("i"), F.lit(1)))
     own = Window.partitionBy("id")
-    ordered = own.orderBy("i")
-    words = words.select(
-        "id", "first", "n", "i", "back",
-        F.coalesce(F.bit_xor("front").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"),
-        F.coalesce(F.bit_xor("back").over(ordered.rowsBetween(1, Window.unboundedFollowing)), F.lit(0)).alias("after"),
-        F.bit_xor("front").over(own).alias("whole"),
-    )
-    variant = lambda before, after, n, i, drop: F.struct(F.xxhash64(before, after, n, i).alias("key"), i.alias("at"), F.lit(drop).alias("drop"))
+    so_far = own.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    words = words.withColumn("f", F.bit_xor("front").over(so_far)).withColumn("b", F.bit_xor("back").over(so_far)).withColumn("whole", F.bit_xor("front").over(own)).withColumn("back_whole", F.bit_xor("back").over(own))
+    words = words.withColumn("before", F.col("f").bitwiseXOR(F.col("front"))).withColumn("after", F.col("back_whole").bitwiseXOR(F.col("b")))
     i, n = F.col("i"), F.col("n")
+    possible = (F.col("past") <= i) | (i <= n - F.col("until"))
+    variant = lambda before, after, left, at, drop: F.struct(F.xxhash64(before, after, left, at).alias("key"), at.alias("at"), F.lit(drop).alias("drop"))
     out = F.array(
-        variant(F.col("before"), F.col("after"), n - 1, i, True),
-        variant(F.col("before"), F.col("after").bitwiseXOR(F.col("back")), n, i, False),
-        F.when(i == n - 1, variant(F.col("whole"), F.lit(0).cast("long"), n, n, False)),
+        F.when(possible, variant(F.col("before"), F.col("after"), n - 1, i, True)),
+        F.when(possible, variant(F.col("before"), F.col("after").bitwiseXOR(F.col("back")), n, i, False)),
+        F.when((i == n - 1) & F.col("past").isNotNull(), variant(F.col("whole"), F.lit(0).cast("long"), n, n, False)),
     )
-    variants = words.select("id", "first", F.explode(F.filter(out, lambda v: v.isNotNull())).alias("v")).select("id", "first", "v.*")
-    variants = written(variants, "variants")
-    heads = variants.groupBy("key").agg(F.min(F.struct("first", "id", "drop")).alias("head"), F.count("*").alias("m")).where("m > 1").select("key", "head")
-    near = variants.join(heads, "key").where("head.first < first and (drop or head.drop)")
-    near = near.groupBy("id").agg(F.min(F.struct(F.col("head.first"), F.col("head.id").alias("to"), "at", "drop", F.col("head.drop").alias("to_drop"))).alias("x")).select("id", "x.to", "x.at", "x.drop", "x.to_drop")
+    variants = written(words.select("id", "first", F.explode(out).alias("v")).where("v is not null").select("id", "first.*", "v.*"), "variants")
+    first = F.struct("doc_id", "h", "pos")
+    heads = variants.groupBy("key").agg(F.min(F.struct("doc_id", "h", "pos", "id", "drop")).alias("head"), F.min("id").alias("i0"), F.max("id").alias("i1")).where("i0 <> i1").select("key", "head")
+    near = variants.join(heads, "key").where(F.expr("struct(head.doc_id, head.h, head.pos) < struct(doc_id, h, pos) and (drop or head.drop)"))
+    near = near.groupBy("id").agg(F.min(F.struct(F.expr("struct(head.doc_id, head.h, head.pos)").alias("first"), F.col("head.id").alias("to"), "at", "drop", F.col("head.drop").alias("to_drop"))).alias("x")).select("id", "x.to", "x.at", "x.drop", "x.to_drop")
     near = near.join(texts.select("id", "words"), "id").join(texts.select(F.col("id").alias("to"), F.col("words").alias("to_words")), "to")
     near = near.where(_rest("words", "drop", "at") == _rest("to_words", "to_drop", "at")).select("id", F.lit(True).alias("near"))
-    known = lines.join(near, "id", "left").where("times > 1 or near").select("id", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    gone = rows.join(known, "id").where(F.col("near") | ~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
+    known = lines.select("id", F.col("first"), "times").join(near, "id", "left").where("times > 1 or near").select("id", F.col("first").alias("kept_at"), F.coalesce("near", F.lit(False)).alias("near"))
+    return rows.select("id", "doc_id", "h", "pos").join(known, "id").where(F.col("near") | ~first.eqNullSafe(F.col("kept_at"))).select("doc_id", "h", "pos")
 
 
 def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
@@ -93,17 +106,21 @@ def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
     return left.join(right, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("h") == F.col("__h")), how).drop("__doc_id", "__h")
 
 
-def without_repeated_lines(docs: DataFrame, *, min_words: int = 8) -> DataFrame:
+def without_repeated_lines(docs: DataFrame, *, min_words: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
     """docs (doc_id, text, ...) with the text less its dropped lines, n_lines and n_dropped; n_chars follows where docs has it.
 
     Blank lines and lines under min_words stay. Order is by doc_id (null first), then by
     xxhash64(text) among rows that repeat a doc_id, then by line number; rows that repeat both
     count as one document and come out alike. A null text stays null and has no lines to drop; a
     document whose lines all go has an empty text. An empty table gives no rows. Columns of docs
-    named n_lines or n_dropped are replaced; others pass through.
+    named n_lines or n_dropped are replaced; others pass through. The lines to drop, and the
+    documents to look lines up in, are broadcast only if they have at most broadcast_rows rows.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    gone = dropped_lines(docs.select("doc_id", "text"), min_words)
+    gone = written(dropped_lines(docs.select("doc_id", "text"), min_words, broadcast_rows).distinct(), "gone")
+    few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
+    gone = gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone"))
+    gone = F.broadcast(gone) if few else gone
     names = docs.columns
     out = _joined(docs.withColumn("h", F.xxhash64("text")) if "h" not in names else docs.withColumnRenamed("h", "__own_h").withColumn("h", F.xxhash64("text")), gone, "left")
     lines = _lines(F.col("text"))
