@@ -14,7 +14,10 @@ spread over many tasks.
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+from array import array
 from bisect import bisect_right
 
 import numpy as np
@@ -31,21 +34,38 @@ _DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 _FAST = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\t\n\r {_LETTERS}{_DIGITS}]+|[\t\n\r ]+(?![^\t\n\r ])|[\t\n\r ]+")
 
 
+#: How byte-level models write bytes: printable Latin-1 as itself, the other bytes from U+0100 on.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: b for b in _PRINTED} | {b: 0x100 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
+
+def is_plain_byte_level(tokenizer) -> bool:
+    """Whether texts can be cut by _FAST and each part given to the model alone."""
+    found = json.loads(tokenizer.to_str())
+    cut = found.get("pre_tokenizer") or {}
+    return sys.byteorder == "little" and not found.get("normalizer") and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and found["model"].get("type", "BPE") == "BPE"
+
+
 class TokenBytes(dict):
-    """The ids of a pre-token as little-endian uint32, remembered up to a bound."""
+    """The ids of a pre-token as little-endian uint32, remembered for the last `most` to 2 * `most` distinct ones."""
 
-    def __init__(self, tokenizer, most: int = 500_000):
+    def __init__(self, tokenizer, most: int = 450_000):
         super().__init__()
-        self.tokenizer, self.most = tokenizer, most
+        self.tokenizer, self.most, self.older = tokenizer, most, {}
+        self.model, self.split = tokenizer.model, is_plain_byte_level(tokenizer)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        ids = self[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_CHARS))]).tobytes()
+        self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        if _SAFE.search(text):
+        if not self.split or _SAFE.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _FAST.findall(text)))
 
