@@ -1,0 +1,119 @@
+"""Checks of single pages, and of pages against each other, as selections over parsed pages."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from sitelens.functions.urls import host_of, normalized, resolved
+
+# Link texts that say nothing.
+GENERIC_ANCHORS = ["click here", "here", "read more", "more", "learn more", "this link", "link", "this", "go", "click", "details", "more info"]
+
+
+@dataclass(frozen=True)
+class Rule:
+    id: str
+    category: str
+    severity: str
+    confidence: float
+    fires: Column | None = None
+
+
+def _count(array: str, test) -> Column:
+    return F.size(F.filter(array, test))
+
+
+def _blank(c: Column) -> Column:
+    return F.trim(F.coalesce(c, F.lit(""))) == ""
+
+
+def page_rules() -> list[Rule]:
+    """Rules that one page decides, over the columns of audited()."""
+    n = lambda c: F.size(c)
+    title, description = F.get("titles", F.lit(0)), F.get("descriptions", F.lit(0))
+    head = F.filter("canonicals", lambda c: c["in_head"])
+    return [
+        Rule("missing-title", "metadata", "high", 0.98, n("titles") == 0),
+        Rule("empty-title", "metadata", "high", 0.98, title == ""),
+        Rule("multiple-titles", "metadata", "low", 0.95, n("titles") > 1),
+        Rule("short-title", "metadata", "low", 0.6, F.length(title).between(1, 9)),
+        Rule("long-title", "metadata", "low", 0.6, F.length(title) > 70),
+        Rule("missing-meta-description", "metadata", "low", 0.95, n("descriptions") == 0),
+        Rule("empty-meta-description", "metadata", "low", 0.95, description == ""),
+        Rule("multiple-meta-descriptions", "metadata", "low", 0.95, n("descriptions") > 1),
+        Rule("missing-canonical", "metadata", "low", 0.98, (n("canonicals") == 0) & ~F.col("noindex")),
+        Rule("multiple-canonicals", "metadata", "medium", 0.95, n(head) > 1),
+        Rule("malformed-canonical", "metadata", "medium", 0.95, (n(head) > 0) & F.col("canonical").isNull()),
+        Rule("canonical-cross-host", "metadata", "info", 0.95, host_of(F.col("canonical")) != F.col("audit_id")),
+        Rule("canonicalized-to-other-url", "metadata", "info", 0.95, (host_of(F.col("canonical")) == F.col("audit_id")) & (F.col("canonical") != F.col("page_url"))),
+        Rule("canonical-noindex-conflict", "metadata", "low", 0.9, F.col("noindex") & (F.col("canonical") != F.col("page_url"))),
+        Rule("canonical-outside-head", "metadata", "medium", 0.9, _count("canonicals", lambda c: ~c["in_head"]) > 0),
+        Rule("noindex-page", "technical", "info", 0.95, F.col("noindex")),
+        Rule("nofollow-page", "technical", "info", 0.95, F.exists("robots_meta", lambda m: (m["name"] == "robots") & m["content"].rlike(r"(^|[\s,])(nofollow|none)($|[\s,])"))),
+        Rule("mixed-content", "technical", "medium", 0.95, F.col("page_url").startswith("https://") & F.exists("subresources", lambda s: s.startswith("http://"))),
+        Rule("missing-h1", "structure", "medium", 0.95, _count("headings", lambda h: h["level"] == 1) == 0),
+        Rule("multiple-h1", "structure", "low", 0.95, _count("headings", lambda h: h["level"] == 1) > 1),
+        Rule("heading-level-skip", "structure", "low", 0.9, F.col("skips") > 0),
+        Rule("empty-heading", "structure", "low", 0.9, _count("headings", lambda h: h["text"] == "") > 0),
+        Rule("empty-anchor-text", "links", "low", 0.85, _count("links", lambda x: x["text"] == "") > 0),
+        Rule("generic-anchor-text", "links", "info", 0.9, _count("links", lambda x: F.lower(x["text"]).isin(GENERIC_ANCHORS)) > 0),
+        Rule("internal-nofollow", "links", "info", 0.95, F.exists("links", lambda x: x["rel"].rlike(r"(^|\s)nofollow($|\s)") & ~x["href"].rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^//"))),
+        Rule("image-missing-alt", "images", "medium", 0.97, _count("images", lambda i: i["alt"].isNull()) > 0),
+        Rule("image-empty-alt", "images", "info", 0.9, _count("images", lambda i: i["alt"].isNotNull() & _blank(i["alt"])) > 0),
+        Rule("image-missing-dimensions", "images", "low", 0.6, _count("images", lambda i: _blank(i["width"]) | _blank(i["height"])) > 0),
+        Rule("invalid-json-ld", "structured_data", "medium", 0.97, _count("json_ld", lambda b: b["error"].isNotNull()) > 0),
+        Rule("json-ld-missing-context", "structured_data", "low", 0.9, _count("json_ld", lambda b: b["error"].isNull() & b["missing_context"]) > 0),
+        Rule("json-ld-missing-type", "structured_data", "low", 0.9, _count("json_ld", lambda b: b["error"].isNull() & b["missing_type"]) > 0),
+    ]
+
+
+#: Rules that several pages decide together.
+SITE_RULES = [
+    Rule("duplicate-title", "metadata", "medium", 0.97),
+    Rule("duplicate-meta-description", "metadata", "low", 0.97),
+    Rule("no-structured-data", "structured_data", "low", 0.9),
+]
+
+
+def heading_skips() -> Column:
+    """Headings more than one level below the one before."""
+    levels = F.transform("headings", lambda h: h["level"])
+    steps = F.zip_with(F.slice(levels, 1, F.greatest(F.size(levels) - 1, F.lit(0))), F.slice(levels, 2, F.greatest(F.size(levels) - 1, F.lit(0))), lambda a, b: (b > a + 1).cast("int"))
+    return F.aggregate(steps, F.lit(0), lambda s, x: s + x)
+
+
+def audited(pages: DataFrame) -> DataFrame:
+    """Parsed pages with audit_id (the host), page_url, canonical, noindex and skips. Pages without a valid address drop out."""
+    rows = pages.withColumn("page_url", normalized("url")).where("page_url is not null").withColumn("audit_id", host_of(F.col("page_url")))
+    first = F.get(F.filter("canonicals", lambda c: c["in_head"]), F.lit(0))["href"]
+    noindex = F.exists("robots_meta", lambda m: (m["name"] == "robots") & m["content"].rlike(r"(^|[\s,])(noindex|none)($|[\s,])"))
+    return rows.withColumn("canonical", resolved(first, F.col("page_url"))).withColumn("noindex", noindex).withColumn("skips", heading_skips())
+
+
+def page_issues(pages: DataFrame) -> DataFrame:
+    """(audit_id, page_id, rule_id, category, severity, confidence): one row a page and rule that fires, in one pass over pages."""
+    fired = [F.when(r.fires, F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.category).alias("category"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"))) for r in page_rules()]
+    return pages.select("audit_id", "page_id", F.explode(F.filter(F.array(*fired), lambda x: x.isNotNull())).alias("x")).select("audit_id", "page_id", "x.*")
+
+
+def duplicates(pages: DataFrame, column: str) -> DataFrame:
+    """(audit_id, value, n, pages): values that several indexable pages share, unless all name one canonical."""
+    value = F.lower(F.trim(F.get(column, F.lit(0))))
+    rows = pages.where(~F.col("noindex")).withColumn("value", value).where("value <> ''")
+    rows = rows.groupBy("audit_id", "value").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("page_id")).alias("pages"), F.count_distinct(F.coalesce("canonical", F.lit(""))).alias("targets"), F.count("canonical").alias("named"))
+    return rows.where("n > 1 and not (targets = 1 and named = n)").select("audit_id", "value", "n", "pages")
+
+
+def inlinks(pages: DataFrame) -> DataFrame:
+    """(audit_id, href, sources): how many pages of the site link to each root-relative target."""
+    links = pages.select("audit_id", "page_url", F.explode("links").alias("x")).where(F.col("x.href").startswith("/"))
+    return links.groupBy("audit_id", F.col("x.href").alias("href")).agg(F.count_distinct("page_url").alias("sources"))
+
+
+def type_inventory(pages: DataFrame) -> DataFrame:
+    """(audit_id, type, pages): on how many pages each JSON-LD type stands."""
+    kinds = F.array_distinct(F.flatten(F.transform("json_ld", lambda b: b["types"])))
+    return pages.select("audit_id", F.explode(kinds).alias("type")).groupBy("audit_id", "type").agg(F.count("*").alias("pages"))

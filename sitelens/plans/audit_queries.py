@@ -3,10 +3,136 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from sitelens.functions.facts import parsed
+from sitelens.functions.robots import CRAWLERS, parse_robots, verdict
+from sitelens.functions.urls import normalized
+from sitelens.operators import page_checks, scoring
+from sitelens.sources.pages import decorated_pages, pages
+
+_SITE = r"regexp_extract(url, '^https?://([^/:?]*)', 1)"
+_TITLE = r"trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '\s+', ' ', 'g'))"
+_ISSUES = """(VALUES ('a','metadata','missing-title','high',0.98,0.25),('a','metadata','short-title','low',0.6,0.5),('a','technical','mixed-content','medium',0.95,1.0),
+ ('a','technical','mixed-content','medium',0.95,1.0),('a','technical','mixed-content','medium',0.95,1.0),('a','links','internal-nofollow','info',0.95,1.0),
+ ('b','images','image-missing-alt','medium',0.97,0.125),('b','structure','missing-h1','medium',0.95,0.75)) AS t(audit_id, category, rule_id, severity, confidence, prevalence)"""
+_WEIGHTS = "(VALUES ('technical',25),('metadata',20),('structure',15),('links',20),('images',10),('structured_data',10)) AS w(category, max_points)"
+_SEVERITIES = "(VALUES ('critical',1.0),('high',0.75),('medium',0.4),('low',0.15),('info',0.0)) AS s(severity, weight)"
+_ROBOTS = "User-agent: *\nDisallow: /private/\nAllow: /private/open\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n"
+_PATHS = ["/", "/private/x", "/private/open/y", "/public"]
+_ANSWERS = "(VALUES ('a',404,NULL),('b',200,NULL),('c',503,NULL),('d',403,NULL),('e',NULL,'timeout'),('f',NULL,'redirect-loop'),('g',418,NULL),('h',410,NULL)) AS t(url, status, error)"
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_checks.audited(parsed(decorated_pages(spark, sf_dir)))
 
 
 def issues_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    """Findings of the page rules: how many pages each fires on."""
+    found = page_checks.page_issues(page_checks.audited(parsed(pages(spark, sf_dir))))
+    return found.groupBy("rule_id", "category", "severity").agg(F.count("*").alias("pages"))
+
+
+def page_titles(spark, sf_dir):
+    return parsed(pages(spark, sf_dir)).select("page_id", F.get("titles", F.lit(0)).alias("title"), F.length(F.get("titles", F.lit(0))).alias("n_chars"))
+
+
+def heading_and_link_counts(spark, sf_dir):
+    h1 = F.size(F.filter("headings", lambda h: h["level"] == 1))
+    return parsed(pages(spark, sf_dir)).select("page_id", h1.alias("n_h1"), F.size("links").alias("n_links"), "lang")
+
+
+def _rule(*ids):
+    def query(spark, sf_dir):
+        return page_checks.page_issues(_audited(spark, sf_dir)).where(F.col("rule_id").isin(*ids)).select("page_id", "rule_id")
+
+    return query
+
+
+def duplicate_titles(spark, sf_dir):
+    return page_checks.duplicates(page_checks.audited(parsed(pages(spark, sf_dir))), "titles").select("audit_id", "value", "n")
+
+
+def inlink_degree(spark, sf_dir):
+    return page_checks.inlinks(page_checks.audited(parsed(pages(spark, sf_dir))))
+
+
+def json_ld_types(spark, sf_dir):
+    return page_checks.type_inventory(_audited(spark, sf_dir))
+
+
+def url_normalize(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", normalized("url").alias("page_url"))
+
+
+def rule_penalties(spark, sf_dir):
+    return scoring.rule_penalties(spark.sql(f"SELECT audit_id, category, rule_id, severity, double(confidence) confidence, double(prevalence) prevalence FROM {_ISSUES}")).withColumn("penalty", F.round("penalty", 6))
+
+
+def category_scores(spark, sf_dir):
+    issues = spark.sql(f"SELECT audit_id, category, rule_id, severity, double(confidence) confidence, double(prevalence) prevalence FROM {_ISSUES}")
+    return scoring.category_scores(issues, issues)
+
+
+def overall_score(spark, sf_dir):
+    return scoring.overall(category_scores(spark, sf_dir))
+
+
+def link_verdicts(spark, sf_dir):
+    return spark.sql(f"SELECT url, status, error FROM {_ANSWERS}").select("url", scoring.link_verdict(F.col("status"), F.col("error")).alias("v")).select("url", "v.broken", "v.severity", F.col("v.confidence").cast("double").alias("confidence"))
+
+
+def crawler_access(spark, sf_dir):
+    groups, _ = parse_robots(_ROBOTS)
+    return spark.createDataFrame([(t, p, verdict(groups, t, p)) for t, _, _ in CRAWLERS for p in _PATHS], "agent string, path string, allowed boolean")
+
+
+def issue_summary(spark, sf_dir):
+    found = page_checks.page_issues(_audited(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("found"))
+    kinds = spark.createDataFrame([(s,) for s in scoring.SEVERITY_WEIGHTS], "severity string")
+    return kinds.join(found, "severity", "left").select("severity", (F.coalesce("found", F.lit(0)) > 0).alias("any"))
+
+
+_PARTS = f"SELECT audit_id, t.category, rule_id, least(1.0, sum(weight::DOUBLE * confidence::DOUBLE * prevalence::DOUBLE)) AS penalty FROM {_ISSUES} JOIN {_SEVERITIES} ON s.severity = t.severity GROUP BY ALL HAVING penalty > 0"
+_POINTS = f"""SELECT a.audit_id, w.category, max_points, round_even(max_points * (1 - least(1.0::DOUBLE, coalesce(lost, 0))), 1)::DOUBLE AS points
+  FROM (SELECT DISTINCT audit_id FROM {_ISSUES}) a CROSS JOIN {_WEIGHTS}
+  LEFT JOIN (SELECT audit_id, category, sum(round_even(penalty, 4)) AS lost FROM ({_PARTS}) GROUP BY ALL) l ON l.audit_id = a.audit_id AND l.category = w.category"""
+
+
+def _when(rule: str, condition: str) -> str:
+    return f"SELECT page_id, '{rule}' AS rule_id FROM pages WHERE {condition}"
+
+
+def _union(*parts: str) -> str:
+    return " UNION ALL ".join(parts)
+
+
+#: name -> (query, oracle SQL)
+_TABLE = {
+    "issues_by_rule": (issues_by_rule, None),
+    "page_titles": (page_titles, f"SELECT page_id, {_TITLE} AS title, length({_TITLE})::INT AS n_chars FROM pages"),
+    "heading_and_link_counts": (heading_and_link_counts, r"SELECT page_id, len(regexp_extract_all(html, '<h1>'))::INT AS n_h1, len(regexp_extract_all(html, '<a href='))::INT AS n_links, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages"),
+    "title_lengths": (_rule("short-title", "long-title"), _union(_when("short-title", f"length({_TITLE}) BETWEEN 1 AND 9"), _when("long-title", f"length({_TITLE}) > 70"))),
+    "missing_descriptions": (_rule("missing-meta-description"), _when("missing-meta-description", "page_id % 3 <> 0")),
+    "canonical_rules": (_rule("missing-canonical", "canonical-cross-host", "canonicalized-to-other-url", "canonical-noindex-conflict"), _union(_when("missing-canonical", "page_id % 4 > 1 AND page_id % 7 <> 0"), _when("canonical-cross-host", "page_id % 4 = 1"), _when("canonicalized-to-other-url", "page_id % 4 = 0"), _when("canonical-noindex-conflict", "page_id % 4 < 2 AND page_id % 7 = 0"))),
+    "noindex_pages": (_rule("noindex-page"), _when("noindex-page", "page_id % 7 = 0")),
+    "heading_skips": (_rule("heading-level-skip", "missing-h1"), _when("heading-level-skip", "page_id % 6 = 0")),
+    "image_rules": (_rule("image-missing-alt", "image-empty-alt", "image-missing-dimensions"), _union(_when("image-missing-alt", "page_id % 2 = 0"), _when("image-empty-alt", "page_id % 2 = 1"), _when("image-missing-dimensions", "page_id % 2 = 1"))),
+    "anchor_rules": (_rule("generic-anchor-text"), _when("generic-anchor-text", "page_id % 9 = 0")),
+    "invalid_json_ld": (_rule("invalid-json-ld"), _when("invalid-json-ld", "page_id % 5 = 1")),
+    "json_ld_types": (json_ld_types, f"SELECT {_SITE} AS audit_id, 'Article' AS type, count(*) AS pages FROM pages WHERE page_id % 5 = 0 GROUP BY ALL"),
+    "duplicate_titles": (duplicate_titles, f"SELECT {_SITE} AS audit_id, lower({_TITLE}) AS value, count(*) AS n FROM pages WHERE {_TITLE} <> '' GROUP BY ALL HAVING count(*) > 1"),
+    "inlink_degree": (inlink_degree, rf"""SELECT audit_id, href, count(DISTINCT u) AS sources FROM (SELECT {_SITE} AS audit_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&'), ''), '') AS u,
+  unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) WHERE starts_with(href, '/') GROUP BY ALL"""),
+    "url_normalize": (url_normalize, r"""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&'), ''), '') AS page_url FROM pages"""),
+    "rule_penalties": (rule_penalties, f"SELECT audit_id, category, rule_id, round(penalty, 6)::DOUBLE AS penalty FROM ({_PARTS})"),
+    "category_scores": (category_scores, _POINTS),
+    "overall_score": (overall_score, f"SELECT audit_id, round_even(100 * sum(points) / sum(max_points), 0)::INT AS score FROM ({_POINTS}) GROUP BY audit_id"),
+    "link_verdicts": (link_verdicts, f"""SELECT url, CASE WHEN error = 'redirect-loop' THEN true WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN false WHEN status >= 400 THEN true END AS broken,
+  CASE WHEN error = 'redirect-loop' THEN 'medium' WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 'info' WHEN status IN (404, 410) THEN 'high' WHEN status >= 400 THEN 'medium' END AS severity,
+  (CASE WHEN error = 'redirect-loop' THEN 0.85 WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 0.6 WHEN status IN (404, 410) THEN 0.95 WHEN status >= 500 THEN 0.6 WHEN status >= 400 THEN 0.8 END)::DOUBLE AS confidence FROM {_ANSWERS}"""),
+    "crawler_access": (crawler_access, "SELECT agent, path, CASE WHEN agent IN ('GPTBot', 'CCBot') THEN false ELSE NOT starts_with(path, '/private/') OR starts_with(path, '/private/open') END AS allowed FROM (VALUES " + ",".join(f"('{t}')" for t, _, _ in CRAWLERS) + ") AS a(agent), (VALUES " + ",".join(f"('{p}')" for p in _PATHS) + ") AS p(path)"),
+    "issue_summary": (issue_summary, "SELECT severity, severity <> 'critical' AND severity <> 'high' AS any FROM (VALUES ('critical'),('high'),('medium'),('low'),('info')) AS s(severity)"),
+}
+QUERIES = {name: query for name, (query, _) in _TABLE.items()}
+ORACLES = {name: sql for name, (_, sql) in _TABLE.items() if sql}
