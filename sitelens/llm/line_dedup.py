@@ -100,10 +100,10 @@ def dropped_lines(docs: DataFrame, min_words: int = 8, broadcast_rows: int = 1_0
     return rows.select("id", "doc_id", "h", "pos").join(known, "id").where(F.col("near") | ~first.eqNullSafe(F.col("kept_at"))).select("doc_id", "h", "pos")
 
 
-def _joined(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
-    """left with right's other columns, by doc_id (nulls equal) and h."""
-    right = right.withColumnsRenamed({"doc_id": "__doc_id", "h": "__h"})
-    return left.join(right, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col("h") == F.col("__h")), how).drop("__doc_id", "__h")
+def _joined(left: DataFrame, right: DataFrame, how: str = "inner", h: str = "h") -> DataFrame:
+    """left with right's other columns, by doc_id (nulls equal) and the hash that left calls h."""
+    right = right.withColumnsRenamed({"doc_id": "__doc_id", "h": "__right_h"})
+    return left.join(right, F.col("doc_id").eqNullSafe(F.col("__doc_id")) & (F.col(h) == F.col("__right_h")), how).drop("__doc_id", "__right_h")
 
 
 def without_repeated_lines(docs: DataFrame, *, min_words: int = 8, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -119,16 +119,15 @@ def without_repeated_lines(docs: DataFrame, *, min_words: int = 8, broadcast_row
     docs = docs.drop("n_lines", "n_dropped")
     gone = written(dropped_lines(docs.select("doc_id", "text"), min_words, broadcast_rows).distinct(), "gone")
     few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
-    gone = gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("gone"))
+    gone = gone.groupBy("doc_id", "h").agg(F.collect_list("pos").alias("__gone"))
     gone = F.broadcast(gone) if few else gone
     names = docs.columns
-    out = _joined(docs.withColumn("h", F.xxhash64("text")) if "h" not in names else docs.withColumnRenamed("h", "__own_h").withColumn("h", F.xxhash64("text")), gone, "left")
-    lines = _lines(F.col("text"))
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long")).withColumn("n_dropped", F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long"))
-    out = out.withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)).drop("gone", "h")
-    if "h" in names:
-        out = out.withColumnRenamed("__own_h", "h")
+    out = _joined(docs.withColumn("__h", F.xxhash64("text")), gone, "left", "__h")
+    lines, gone_lines = _lines(F.col("text")), F.col("__gone")
+    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone_lines, i)), "\n")
+    out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long"))
+    out = out.withColumn("n_dropped", F.when(gone_lines.isNull(), 0).otherwise(F.size(gone_lines)).cast("long"))
+    out = out.withColumn("text", F.when(gone_lines.isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*(F.col(f"`{c}`") for c in names), "n_lines", "n_dropped")
