@@ -8,10 +8,11 @@ at the threshold is expected to stay together along one branch), and the classes
 minwise token there. The classes of a small node are compared exhaustively, first on one-bit
 sketches whose bar lies six deviations below the threshold, then on their full sets.
 
-A node that is still large at `max_depth` holds near copies of each other. There each class is
-compared with four pivots of the node; when these links have made components, all classes of such
-a node outside its largest component are compared with all classes of other components, so that
-no link between components is lost to the depth limit.
+The first few trees link most groups; the others then skip nodes whose classes are all in one
+component and compare across components only. A node that is still large at `max_depth` holds near
+copies of each other. There each class is compared with four pivots of the node; when these links
+have made components, all classes of such a node outside its largest component are compared with
+all classes of other components, so that no link between components is lost to the depth limit.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .common import GOLDEN, WordHashes, documents, mix, pick, pieces, shingle_ha
 from .graph import components
 
 BINS = 128
+#: The trees that are searched before the others, and the pivots of a large node at the greatest depth.
+FIRST_TREES, PIVOTS = 3, 4
 _SIG_SCHEMA = "doc_id bigint, n_shingles bigint, class bigint, sketch0 bigint, sketch1 bigint, sig binary, paths array<bigint>"
 
 
@@ -84,7 +87,7 @@ def _signatures(k: int, trees: int):
 
 
 def _branch(similarity: float):
-    """(class, node, sig) -> (class, node): the children in which the class lies."""
+    """(class, node, sig, label) -> (class, node, label): the children in which the class lies."""
     second = np.uint64(int((1 / similarity - 1) * 2**32))
 
     def run(batches):
@@ -99,7 +102,7 @@ def _branch(similarity: float):
             ids = np.concatenate([row, row[kept]])
             pos = np.concatenate([one, two[kept]])
             child = mix(node[ids] ^ mix(sig[ids, pos].astype(np.uint64) + pos.astype(np.uint64) * GOLDEN))
-            yield pa.record_batch([batch.column(0).take(pa.array(ids)), pa.array(child.view(np.int64))], names=["class", "node"])
+            yield pa.record_batch([batch.column(0).take(pa.array(ids)), pa.array(child.view(np.int64)), batch.column(3).take(pa.array(ids))], names=["class", "node", "label"])
 
     return run
 
@@ -146,44 +149,47 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
     signed = written(docs.mapInArrow(_signatures(k, trees), _SIG_SCHEMA), "signed")
     some = signed.where("class is not null")
     classes = written(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch0").alias("s0"), F.first("sketch1").alias("s1"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
-    slim = classes.select("class", "n", "s0", "s1")
 
     def compared(x: DataFrame, y: DataFrame, extra=None) -> DataFrame:
-        """Pairs of classes of the same node that may reach the threshold."""
-        x = x.select("node", *(F.col(c).alias(f"a_{c}") for c in x.columns if c != "node"))
-        y = y.select("node", *(F.col(c).alias(f"b_{c}") for c in y.columns if c != "node"))
+        """Pairs of classes of the same node, under different labels, that may reach the threshold."""
+        x = x.select("node", *(F.col(c).alias(f"a_{c}") for c in ("class", "label", "n", "s0", "s1")))
+        y = y.select("node", *(F.col(c).alias(f"b_{c}") for c in ("class", "label", "n", "s0", "s1")))
         small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
         same = F.lit(BINS) - F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) - F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
-        close = (100 * small >= percent * large) & ((small < 64) | (same >= bar))
+        close = (100 * small >= percent * large) & ((small < 64) | (same >= bar)) & (F.col("a_label") != F.col("b_label"))
         pairs = x.join(y, "node").where(close & (extra if extra is not None else F.col("a_class") < F.col("b_class")))
         return pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"), same.alias("same"))
 
-    found, dense, frontier = [], [], classes.select("class", F.explode("paths").alias("node"))
-    for depth in range(1, max_depth + 1):
-        if depth > 1:
-            frontier = written(frontier, "frontier")
-        counts = written(frontier.groupBy("node").agg(F.count("*").alias("members")).where("members > 1"), "counts")
-        if counts.isEmpty():
-            break
-        held = written(frontier.join(counts, "node"), "held")
-        leaves = held.where(F.col("members") <= leaf).select("node", "class").join(slim, "class")
-        found.append(written(compared(leaves, leaves).distinct(), "pairs"))
-        large = held.where(F.col("members") > leaf).select("class", "node")
-        if large.isEmpty():
-            break
-        if depth == max_depth:
-            dense = [written(large.join(slim, "class"), "dense")]
-            pivots = [F.min(F.struct(F.xxhash64("class", F.lit(i)), "class", "n", "s0", "s1")).alias(f"p{i}") for i in range(4)]
-            pivots = dense[0].groupBy("node").agg(*pivots).select("node", F.explode(F.array(*(f"p{i}" for i in range(4)))).alias("p")).select("node", "p.class", "p.n", "p.s0", "p.s1").distinct()
-            found.append(written(compared(dense[0], pivots, F.col("a_class") != F.col("b_class")).distinct(), "pairs"))
-        frontier = large.join(classes.select("class", "sig"), "class").select("class", "node", "sig").mapInArrow(_branch(similarity), "class bigint, node bigint")
+    def descend(labelled: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
+        """Pairs to confirm from trees first..last, and the rows of nodes that are large to the end. labelled: (class, label, sig, paths, n, s0, s1)."""
+        found, dense = [], []
+        slim = labelled.select("class", "label", "n", "s0", "s1")
+        frontier = labelled.select("class", "label", F.explode(F.slice("paths", first + 1, last - first)).alias("node"))
+        for depth in range(1, max_depth + 1):
+            if depth > 1:
+                frontier = written(frontier, "frontier")
+            # a node whose classes are all linked already has nothing to find
+            counts = frontier.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+            held = written(frontier.join(counts.where("members > 1 and l0 <> l1").select("node", "members"), "node"), "held")
+            if held.isEmpty():
+                break
+            leaves = held.where(F.col("members") <= leaf).select("node", "class").join(slim, "class")
+            found.append(written(compared(leaves, leaves).distinct(), "pairs"))
+            large = held.where(F.col("members") > leaf).select("class", "node")
+            if large.isEmpty():
+                break
+            if depth == max_depth:
+                dense = [written(large.join(slim, "class"), "dense")]
+                pivots = [F.min(F.struct(F.xxhash64("class", F.lit(i)), "class", "label", "n", "s0", "s1")).alias(f"p{i}") for i in range(PIVOTS)]
+                pivots = dense[0].groupBy("node").agg(*pivots).select("node", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).select("node", "p.class", "p.label", "p.n", "p.s0", "p.s1").distinct()
+                found.append(written(compared(dense[0], pivots, F.lit(True)).distinct(), "pairs"))
+            frontier = large.join(labelled.select("class", "label", "sig"), "class").select("class", "node", "sig", "label").mapInArrow(_branch(similarity), "class bigint, node bigint, label bigint")
+        pairs = empty.withColumn("same", F.lit(0))
+        for p in found:
+            pairs = pairs.unionByName(p)
+        return written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs"), dense
 
     empty = spark.createDataFrame([], "a bigint, b bigint")
-    pairs = empty.withColumn("same", F.lit(0))
-    for p in found:
-        pairs = pairs.unionByName(p)
-    pairs = written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
-
     texts = classes.select("class", "first_id")
 
     def confirmed(chosen: DataFrame) -> DataFrame:
@@ -203,29 +209,36 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         union = F.size("a_items") + F.size("b_items") - shared
         return written(both.where(100 * shared >= percent * union).select("a", "b").distinct(), "confirmed")
 
-    best = lambda c, d: pairs.groupBy(F.col(c).alias("x")).agg(F.max_by(d, F.struct("same", F.col(d))).alias("y"), F.min(d).alias("z"))
-    first = best("a", "b").unionByName(best("b", "a")).select("x", F.explode(F.array("y", "z")).alias("y"))
-    first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links = confirmed(first)
-    labels = components(links)
-
     def across(p: DataFrame) -> DataFrame:
         """Without pairs whose ends are linked already."""
         lab = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         return p.join(lab("a"), "a", "left").join(lab("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
+    # a few trees first: each class against its likest and its smallest candidate, then what these leave apart
+    pairs, dense = descend(classes.withColumn("label", F.col("class")), 0, min(FIRST_TREES, trees))
+    best = lambda c, d: pairs.groupBy(F.col(c).alias("x")).agg(F.max_by(d, F.struct("same", F.col(d))).alias("y"), F.min(d).alias("z"))
+    first = best("a", "b").unionByName(best("b", "a")).select("x", F.explode(F.array("y", "z")).alias("y"))
+    first = written(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
+    links = confirmed(first)
+    labels = components(links)
     more = confirmed(across(pairs.join(first, ["a", "b"], "left_anti")))
     if not more.isEmpty():
         links = links.unionByName(more)
         labels = components(links)
-    if dense:
-        parts = dense[0].join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    # the other trees only compare across components
+    labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    later, dense2 = descend(written(labelled(classes), "labelled"), min(FIRST_TREES, trees), trees)
+    more = confirmed(later.join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+    for rows in dense + dense2:
+        parts = labelled(rows.drop("label"))
         sizes = parts.groupBy("node", "label").agg(F.count("*").alias("m"))
         largest = sizes.groupBy("node").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         parts = written(parts.join(largest.drop("parts"), "node"), "parts")
-        outside = parts.where("label <> main")
-        rest = compared(outside.drop("main"), parts.drop("main"), F.col("a_label") != F.col("b_label")).select("a", "b").distinct()
-        rest = confirmed(rest.join(pairs, ["a", "b"], "left_anti"))
+        rest = compared(parts.where("label <> main"), parts, F.lit(True)).select("a", "b").distinct()
+        rest = confirmed(rest.join(pairs, ["a", "b"], "left_anti").join(later, ["a", "b"], "left_anti"))
         if not rest.isEmpty():
             links = links.unionByName(rest)
             labels = components(links)
