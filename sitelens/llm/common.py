@@ -64,6 +64,15 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def text_pieces(column: pa.Array, most: int = PIECE_CHARS) -> Iterator[tuple[int, list[bytes]]]:
+    """(first row, UTF-8 of the texts) of pieces of a column of about `most` bytes, one text at least; only one piece is copied at a time."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for at, end in pieces(sizes, most):
+        yield at, text_bytes(column.slice(at, end - at))
+
+
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 

@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, documents, mix, pieces, text_bytes, written
+from .common import GOLDEN, WordHashes, documents, mix, text_bytes, text_pieces, written
 
 ORDER, WORDS = 4, 8
+#: Code points whose n-grams a task holds at once, distinct n-grams it sums before handing them on, and rows it hands on at a time.
+PIECE, HELD, OUT_ROWS = 500_000, 500_000, 100_000
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 _SPACE = np.zeros(256, bool)
@@ -62,21 +64,23 @@ def _count(batches):
     def rows():
         for lang, parts in held.items():
             for keys, counts in parts:
-                yield pa.record_batch([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], names=["lang", "key", "a"])
+                for at in range(0, len(keys), OUT_ROWS):
+                    own = keys[at : at + OUT_ROWS]
+                    yield pa.record_batch([pa.repeat(pa.scalar(lang, pa.string()), len(own)), pa.array(own.view(np.int64)), pa.array(counts[at : at + OUT_ROWS].astype(np.int64))], names=["lang", "key", "a"])
 
     for batch in batches:
-        texts, langs = text_bytes(batch.column(0)), batch.column(1).to_pylist()
-        for at, end in pieces(np.fromiter(map(len, texts), np.int64, len(texts))):
+        langs = batch.column(1).to_pylist()
+        for at, texts in text_pieces(batch.column(0), PIECE):
             by: dict[str, list[np.ndarray]] = {}
-            for t, lang in zip(texts[at:end], langs[at:end], strict=True):
+            for t, lang in zip(texts, langs[at : at + len(texts)], strict=True):
                 by.setdefault(lang, []).append(ngram_keys(t))
             for lang, parts in by.items():
                 keys, counts = _summed(np.concatenate(parts))
                 held.setdefault(lang, []).append((keys, counts))
                 size += len(keys)
-            if size > 3_000_000:
+            if size > 2 * HELD:
                 size = flush()
-                if size > 1_500_000:  # hand on what there is, so that memory stays bounded
+                if size > HELD:  # hand on what there is, so that memory stays bounded
                     yield from rows()
                     held.clear()
                     size = 0
@@ -146,14 +150,15 @@ def _score(shared):
         hashes = WordHashes()
         model = shared.value if shared is not None else {}
         for batch in batches:
-            rows = []
-            for t, lang in zip(text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                keys = ngram_keys(t)
-                total = None
-                if lang in model and len(keys):
-                    known, logp = model[lang]
-                    total = float(logp[np.minimum(np.searchsorted(known, keys), len(known) - 1)].sum(dtype=np.float64))
-                rows.append((*_base(t, hashes), len(keys), total))
+            rows, langs = [], batch.column(2).to_pylist()
+            for at, texts in text_pieces(batch.column(1), PIECE):
+                for t, lang in zip(texts, langs[at : at + len(texts)], strict=True):
+                    keys = ngram_keys(t)
+                    total = None
+                    if lang in model and len(keys):
+                        known, logp = model[lang]
+                        total = float(logp[np.minimum(np.searchsorted(known, keys), len(known) - 1)].sum(dtype=np.float64))
+                    rows.append((*_base(t, hashes), len(keys), total))
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), *(pa.array(c, pa.int64()) for c in columns[:6]), pa.array(columns[6], pa.float64())], names=["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "logp"])
 
@@ -173,14 +178,14 @@ def _gram_rows(batches):
 
 def _sent(model: DataFrame):
     """The model as sorted arrays, broadcast to the tasks."""
-    arrow = model.orderBy("lang", "key").toArrow()
-    out = {}
-    langs = arrow.column("lang").to_pylist()
+    arrow = model.toArrow()
+    codes = arrow.column("lang").combine_chunks().dictionary_encode()
     keys, logp = arrow.column("key").to_numpy().view(np.uint64), arrow.column("logp").to_numpy()
-    for lang in dict.fromkeys(langs):
-        own = np.fromiter((x == lang for x in langs), bool, len(langs))
-        order = np.argsort(keys[own])
-        out[lang] = (keys[own][order], logp[own][order])
+    out = {}
+    for code, lang in enumerate(codes.dictionary.to_pylist()):
+        own = np.flatnonzero(codes.indices.to_numpy() == code)
+        order = own[np.argsort(keys[own])]
+        out[lang] = (keys[order], logp[order])
     return model.sparkSession.sparkContext.broadcast(out)
 
 
