@@ -8,9 +8,11 @@ at the threshold is expected to stay together along one branch), and the classes
 minwise token there. The classes of a small node are compared exhaustively, first on one-bit
 sketches whose bar lies six deviations below the threshold, then on their full sets.
 
-The first few trees link most groups; the others then skip nodes whose classes are all in one
-component and compare across components only. A node that is still large at `max_depth` holds near
-copies of each other. There each class is compared with four pivots of the node; when these links
+Before that, in two rounds, each class is compared with the likest of a few pivots of its nodes at
+the roots of two trees, which links most groups at a cost that grows with the classes alone. The trees then skip
+nodes whose classes are all in one component and compare across components only: a node is small
+if at most `leaf` of its classes lie outside its largest component, and these are compared with all
+of it. A node that is still large at `max_depth` holds near copies of each other. There each class is compared with four pivots of the node; when these links
 have made components, all classes of such a node outside its largest component are compared with
 all classes of other components, so that no link between components is lost to the depth limit.
 """
@@ -29,8 +31,8 @@ from .common import GOLDEN, WordHashes, documents, mix, pick, pieces, shingle_ha
 from .graph import components
 
 BINS = 128
-#: The trees that are searched before the others, and the pivots of a large node at the greatest depth.
-FIRST_TREES, PIVOTS = 3, 4
+#: Rounds of pivots before the search and the trees of each, and the pivots of a node.
+ROUNDS, ROUND_TREES, PIVOTS = 2, 2, 4
 _SIG_SCHEMA = "doc_id bigint, n_shingles bigint, class bigint, sketch0 bigint, sketch1 bigint, sig binary, paths array<bigint>"
 
 
@@ -160,29 +162,49 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         pairs = x.join(y, "node").where(close & (extra if extra is not None else F.col("a_class") < F.col("b_class")))
         return pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"), same.alias("same"))
 
-    def descend(labelled: DataFrame, first: int, last: int) -> tuple[DataFrame, list[DataFrame]]:
-        """Pairs to confirm from trees first..last, and the rows of nodes that are large to the end. labelled: (class, label, sig, paths, n, s0, s1)."""
+    def against_pivots(rows: DataFrame, salt: int) -> DataFrame:
+        """Each class of rows (node, class, label, n, s0, s1) with PIVOTS classes of its node at most."""
+        least = [F.min(F.struct(F.xxhash64("class", F.lit(salt + i)), "class", "label", "n", "s0", "s1")).alias(f"p{i}") for i in range(PIVOTS)]
+        pivots = rows.groupBy("node").agg(*least).select("node", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p"))
+        pivots = pivots.select("node", "p.class", "p.label", "p.n", "p.s0", "p.s1").distinct()
+        return compared(rows, pivots, F.lit(True))
+
+    def likest(pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, b, same), each class with its likest partner."""
+        best = lambda c, d: pairs.groupBy(F.col(c).alias("x")).agg(F.max(F.struct("same", F.col(d).alias("y"))).alias("m")).select("x", "m.same", "m.y")
+        one = best("a", "b").unionByName(best("b", "a")).groupBy("x").agg(F.max(F.struct("same", "y")).alias("m"))
+        return written(one.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct(), "first")
+
+    def at_roots(labelled: DataFrame, first: int, last: int, salt: int) -> DataFrame:
+        """Each class with the likest of the pivots of its nodes at the first level of trees first..last."""
+        rows = labelled.select("class", "label", "n", "s0", "s1", F.explode(F.slice("paths", first + 1, last - first)).alias("node"))
+        several = rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
+        rows = written(rows.join(several, "node"), "roots")
+        return likest(written(against_pivots(rows, salt).distinct(), "pairs"))
+
+    def descend(labelled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+        """Pairs to confirm from all trees, and the rows of nodes that are large to the end. labelled: (class, label, sig, paths, n, s0, s1)."""
         found, dense = [], []
         slim = labelled.select("class", "label", "n", "s0", "s1")
-        frontier = labelled.select("class", "label", F.explode(F.slice("paths", first + 1, last - first)).alias("node"))
+        frontier = labelled.select("class", "label", F.explode("paths").alias("node"))
         for depth in range(1, max_depth + 1):
             if depth > 1:
                 frontier = written(frontier, "frontier")
             # a node whose classes are all linked already has nothing to find
-            counts = frontier.groupBy("node").agg(F.count("*").alias("members"), F.min("label").alias("l0"), F.max("label").alias("l1"))
-            held = written(frontier.join(counts.where("members > 1 and l0 <> l1").select("node", "members"), "node"), "held")
+            sizes = frontier.groupBy("node", "label").agg(F.count("*").alias("m"))
+            counts = sizes.groupBy("node").agg((F.sum("m") - F.max("m")).alias("others"), F.max_by("label", F.struct("m", "label")).alias("main")).where("others > 0")
+            held = written(frontier.select("class", "node").join(counts, "node"), "held")
             if held.isEmpty():
                 break
-            leaves = held.where(F.col("members") <= leaf).select("node", "class").join(slim, "class")
-            found.append(written(compared(leaves, leaves).distinct(), "pairs"))
-            large = held.where(F.col("members") > leaf).select("class", "node")
+            small = held.where(F.col("others") <= leaf).select("node", "class", "main").join(slim, "class")
+            found.append(written(compared(small.where("label <> main"), small, F.lit(True)).distinct(), "pairs"))
+            large = held.where(F.col("others") > leaf).select("class", "node")
             if large.isEmpty():
                 break
             if depth == max_depth:
                 dense = [written(large.join(slim, "class"), "dense")]
-                pivots = [F.min(F.struct(F.xxhash64("class", F.lit(i)), "class", "label", "n", "s0", "s1")).alias(f"p{i}") for i in range(PIVOTS)]
-                pivots = dense[0].groupBy("node").agg(*pivots).select("node", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).select("node", "p.class", "p.label", "p.n", "p.s0", "p.s1").distinct()
-                found.append(written(compared(dense[0], pivots, F.lit(True)).distinct(), "pairs"))
+                found.append(written(against_pivots(dense[0], ROUNDS * PIVOTS).distinct(), "pairs"))
+                break
             frontier = large.join(labelled.select("class", "label", "sig"), "class").select("class", "node", "sig", "label").mapInArrow(_branch(similarity), "class bigint, node bigint, label bigint")
         pairs = empty.withColumn("same", F.lit(0))
         for p in found:
@@ -214,34 +236,33 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         lab = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))
         return p.join(lab("a"), "a", "left").join(lab("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
-    # a few trees first: each class against its likest and its smallest candidate, then what these leave apart
-    pairs, dense = descend(classes.withColumn("label", F.col("class")), 0, min(FIRST_TREES, trees))
-    best = lambda c, d: pairs.groupBy(F.col(c).alias("x")).agg(F.max_by(d, F.struct("same", F.col(d))).alias("y"), F.min(d).alias("z"))
-    first = best("a", "b").unionByName(best("b", "a")).select("x", F.explode(F.array("y", "z")).alias("y"))
-    first = written(first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "first")
-    links = confirmed(first)
-    labels = components(links)
-    more = confirmed(across(pairs.join(first, ["a", "b"], "left_anti")))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
-    # the other trees only compare across components
     labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    later, dense2 = descend(written(labelled(classes), "labelled"), min(FIRST_TREES, trees), trees)
-    more = confirmed(later.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
-    for rows in dense + dense2:
+    links, tried, labels = empty, empty, components(empty)
+
+    def linked(more: DataFrame) -> None:
+        """Take these pairs as links too."""
+        nonlocal links, labels
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            labels = components(links)
+
+    for i in range(ROUNDS):
+        pairs = at_roots(labelled(classes), min(i * ROUND_TREES, trees), min((i + 1) * ROUND_TREES, trees), i * PIVOTS)
+        linked(confirmed(pairs.join(tried, ["a", "b"], "left_anti")))
+        tried = tried.unionByName(pairs)
+    pairs, dense = descend(written(labelled(classes), "labelled"))
+    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    # each class against its likest candidate, then what these leave apart
+    first = likest(pairs)
+    linked(confirmed(first))
+    linked(confirmed(across(pairs.join(first, ["a", "b"], "left_anti"))))
+    for rows in dense:
         parts = labelled(rows.drop("label"))
         sizes = parts.groupBy("node", "label").agg(F.count("*").alias("m"))
         largest = sizes.groupBy("node").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
         parts = written(parts.join(largest.drop("parts"), "node"), "parts")
         rest = compared(parts.where("label <> main"), parts, F.lit(True)).select("a", "b").distinct()
-        rest = confirmed(rest.join(pairs, ["a", "b"], "left_anti").join(later, ["a", "b"], "left_anti"))
-        if not rest.isEmpty():
-            links = links.unionByName(rest)
-            labels = components(links)
+        linked(confirmed(rest.join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")))
 
     named = classes.select("class", "first_id").join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("label", F.coalesce("label", "class"))
