@@ -39,6 +39,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def checked_small(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """A table with one row a language, source or the like: broadcast where it has at most `most` rows, so that joins with it deal nothing out by so few keys."""
+    df = written(df, "small")
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that clashing or extra names of the input stay out of the way."""
     return df.select(*(F.col(f"`{n}`") for n in names))

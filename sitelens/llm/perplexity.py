@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, documents, mix, text_bytes, text_pieces, written
+from .common import GOLDEN, WordHashes, checked_small, documents, mix, text_bytes, text_pieces, written
 
 ORDER, WORDS = 4, 8
 #: Code points whose n-grams a task holds at once, distinct n-grams it sums before handing them on, and rows it hands on at a time.
@@ -102,7 +102,7 @@ def ngram_model(docs: DataFrame) -> DataFrame:
         found = t.groupBy("lang").agg(n1.alias("n1"), n2.alias("n2"), n3.alias("n3"), n4.alias("n4"), F.count("*").alias("types"))
         y = F.col("n1") / F.greatest(F.col("n1") + 2 * F.col("n2"), F.lit(1.0))
         d = [F.when((F.col("n1") > 0) & (F.col(f"n{i}") > 0), F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.greatest(F.col(f"n{i}"), F.lit(1.0)), F.lit(0.1)), F.lit(i - 0.1))).otherwise(F.lit(0.6 * i)) for i in (1, 2, 3)]
-        found = found.select("lang", "types", *(x.alias(f"d{i}") for i, x in enumerate(d, 1)))
+        found = checked_small(found.select("lang", "types", *(x.alias(f"d{i}") for i, x in enumerate(d, 1))))
         discount = F.when(F.col("a") == 1, F.col("d1")).when(F.col("a") == 2, F.col("d2")).otherwise(F.col("d3"))
         t = t.join(found, "lang").withColumn("d", F.least(discount, F.col("a").cast("double"))).withColumn("context", F.shiftrightunsigned("key", 16) if m > 1 else F.lit(0).cast("long"))
         sums = t.groupBy("lang", "context").agg(F.sum("a").alias("s"), F.sum("d").alias("freed"))
@@ -220,7 +220,7 @@ def quality_rules(docs: DataFrame, *, bands: float = 6.0, char_bands: float = 4.
     scored = written(perplexities(docs, **more).withColumn("base_failed", base_failed()), "scored")
     quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10_000).alias(f"q_{c}")
     usual = scored.where("not base_failed and log_ppl is not null").groupBy("lang").agg(quartiles("log_ppl"), quartiles("log_ppl_char"))
-    scored = scored.join(usual, "lang", "left")
+    scored = scored.join(checked_small(usual), "lang", "left")
 
     def inside(column: str, width: float) -> Column:
         low, middle, high = (F.col(f"q_{column}")[i] for i in range(3))
