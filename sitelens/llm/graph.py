@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -21,12 +21,14 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     nodes = written(links.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node")), "nodes")
     links = written(links.where("u <> v").distinct(), "links")
     while not links.isEmpty():
-        up = written(links.groupBy("u").agg(F.min("v").alias("p")), "parents")
-        on = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        up = written(up.join(on, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "parents")
+        first = written(links.groupBy("u").agg(F.min("v").alias("p")), "parents")
+        on = first.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        up = written(first.join(on, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "parents")
         above = lambda c: up.select(F.col("u").alias(c), F.col("p").alias(f"{c}_up"))
         moved = links.join(above("u"), "u", "left").join(above("v"), "v", "left")
         s, t = F.coalesce("u_up", "u"), F.coalesce("v_up", "v")
-        links = written(moved.select(F.greatest(s, t).alias("u"), F.least(s, t).alias("v")).where("u <> v").distinct(), "links")
+        old, links = [first, up, links, nodes], written(moved.select(F.greatest(s, t).alias("u"), F.least(s, t).alias("v")).where("u <> v").distinct(), "links")
         nodes = written(nodes.join(above("label"), "label", "left").select("node", F.coalesce("label_up", "label").alias("label")), "nodes")
+        dropped(*old)
+    dropped(links)
     return nodes

@@ -5,8 +5,10 @@ one-permutation minwise signature (empty bins borrow from a fixed random order o
 `trees` independent trees starts with all classes at its root. A node of more than `leaf` classes
 branches: the node's path picks one signature position (a second one now and then, so that a pair
 at the threshold is expected to stay together along one branch), and the classes part by the
-minwise token there. The classes of a small node are compared exhaustively, first on one-bit
-sketches whose bar lies six deviations below the threshold, then on their full sets.
+minwise token there. The classes of a small node are compared exhaustively: first on sketches,
+then on their full sets. A parity sketch (which of 512 buckets hold an odd number of shingles)
+never shows more odd differences than the sets have, so what it refuses is no link; sets too large
+for it are told apart by one-bit minwise sketches, whose bar lies six deviations below the threshold.
 
 Before that, in two rounds, each class is compared with the likest of a few pivots of its nodes at
 the roots of two trees, which links most groups at a cost that grows with the classes alone. The trees then skip
@@ -27,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, documents, mix, pick, pieces, shingle_hashes, text_bytes, written
+from .common import GOLDEN, WordHashes, documents, dropped, mix, pick, pieces, shingle_hashes, text_bytes, written
 from .graph import components
 
 BINS = 128
+#: Buckets of the parity sketch, a multiple of 64.
+PARITY = 512
 #: Rounds of pivots before the search and the trees of each, and the pivots of a node.
 ROUNDS, ROUND_TREES, PIVOTS = 2, 2, 4
-_SIG_SCHEMA = "doc_id bigint, n_shingles bigint, class bigint, sketch0 bigint, sketch1 bigint, sig binary, paths array<bigint>"
+_ODD = [f"o{i}" for i in range(PARITY // 64)]
+_SKETCH = ["n", "s0", "s1", *_ODD]
+_SIG_SCHEMA = f"doc_id bigint, n bigint, class bigint, s0 bigint, s1 bigint, {', '.join(f'{c} bigint' for c in _ODD)}, sig binary, paths array<bigint>"
 
 
 def _orders() -> np.ndarray:
@@ -59,6 +65,11 @@ def _signature(u: np.ndarray, orders: np.ndarray) -> np.ndarray:
     return (mix(sig ^ (np.arange(BINS, dtype=np.uint64) * GOLDEN)) >> np.uint64(32)).astype(np.uint32)
 
 
+def _parity(u: np.ndarray) -> np.ndarray:
+    """Which of PARITY buckets hold an odd number of the set's hashes, as 64-bit words."""
+    return np.packbits((np.bincount((u % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signatures(k: int, trees: int):
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * GOLDEN)
     at = (roots % np.uint64(BINS)).astype(np.int64)
@@ -66,24 +77,18 @@ def _signatures(k: int, trees: int):
     def run(batches):
         hashes, orders = WordHashes(), _orders()
         for batch in batches:
-            rows = {name: [] for name in ("n", "c", "s0", "s1", "sig", "paths")}
+            rows = {name: [] for name in ("n", "class", "s0", "s1", *_ODD, "sig", "paths")}
             for u in _sets(batch.column(1), k, hashes):
-                rows["n"].append(len(u))
-                if not len(u):
-                    for name in ("c", "s0", "s1", "sig", "paths"):
-                        rows[name].append(None)
-                    continue
-                sig = _signature(u, orders)
-                bits = np.packbits((mix(sig.astype(np.uint64) + GOLDEN) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-                rows["c"].append(_class(u))
-                rows["s0"].append(int(bits[0]))
-                rows["s1"].append(int(bits[1]))
-                rows["sig"].append(sig.tobytes())
-                rows["paths"].append(mix(roots ^ mix(sig[at].astype(np.uint64) + GOLDEN)).view(np.int64))
-            yield pa.record_batch(
-                [batch.column(0).cast(pa.int64()), pa.array(rows["n"], pa.int64()), pa.array(rows["c"], pa.int64()), pa.array(rows["s0"], pa.int64()), pa.array(rows["s1"], pa.int64()), pa.array(rows["sig"], pa.binary()), pa.array(rows["paths"], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "class", "sketch0", "sketch1", "sig", "paths"],
-            )
+                row = {"n": len(u)}
+                if len(u):
+                    sig = _signature(u, orders)
+                    bits = np.packbits((mix(sig.astype(np.uint64) + GOLDEN) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+                    row |= {"class": _class(u), "s0": int(bits[0]), "s1": int(bits[1]), "sig": sig.tobytes(), **dict(zip(_ODD, _parity(u).tolist()))}
+                    row["paths"] = mix(roots ^ mix(sig[at].astype(np.uint64) + GOLDEN)).view(np.int64)
+                for name, values in rows.items():
+                    values.append(row.get(name))
+            kinds = {"sig": pa.binary(), "paths": pa.list_(pa.int64())}
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(v, kinds.get(name, pa.int64())) for name, v in rows.items())], names=["doc_id", *rows])
 
     return run
 
@@ -134,7 +139,7 @@ def _bar(similarity: float) -> int:
     return math.floor(BINS * p - 6 * math.sqrt(BINS * p * (1 - p)))
 
 
-def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, trees: int = 24, leaf: int = 40, max_depth: int = 8) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, trees: int = 16, leaf: int = 150, max_depth: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
 
     A link joins two documents whose sets of k-word shingles have 100 * intersection >=
@@ -150,23 +155,24 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
     docs = pick(docs, "doc_id", "text")
     signed = written(docs.mapInArrow(_signatures(k, trees), _SIG_SCHEMA), "signed")
     some = signed.where("class is not null")
-    classes = written(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sketch0").alias("s0"), F.first("sketch1").alias("s1"), F.first("sig").alias("sig"), F.first("paths").alias("paths")), "classes")
+    classes = written(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in (*_SKETCH, "sig", "paths"))), "classes")
 
     def compared(x: DataFrame, y: DataFrame, extra=None) -> DataFrame:
         """Pairs of classes of the same node, under different labels, that may reach the threshold."""
-        x = x.select("node", *(F.col(c).alias(f"a_{c}") for c in ("class", "label", "n", "s0", "s1")))
-        y = y.select("node", *(F.col(c).alias(f"b_{c}") for c in ("class", "label", "n", "s0", "s1")))
+        x = x.select("node", *(F.col(c).alias(f"a_{c}") for c in ("class", "label", *_SKETCH)))
+        y = y.select("node", *(F.col(c).alias(f"b_{c}") for c in ("class", "label", *_SKETCH)))
         small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
         same = F.lit(BINS) - F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) - F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
-        close = (100 * small >= percent * large) & ((small < 64) | (same >= bar)) & (F.col("a_label") != F.col("b_label"))
+        odd = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _ODD[1:]), F.bit_count(F.col("a_o0").bitwiseXOR(F.col("b_o0"))))
+        close = (F.col("a_label") != F.col("b_label")) & (100 * small >= percent * large) & ((100 + percent) * odd <= (100 - percent) * (small + large)) & ((small < 64) | (same >= bar))
         pairs = x.join(y, "node").where(close & (extra if extra is not None else F.col("a_class") < F.col("b_class")))
         return pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"), same.alias("same"))
 
     def against_pivots(rows: DataFrame, salt: int) -> DataFrame:
         """Each class of rows (node, class, label, n, s0, s1) with PIVOTS classes of its node at most."""
-        least = [F.min(F.struct(F.xxhash64("class", F.lit(salt + i)), "class", "label", "n", "s0", "s1")).alias(f"p{i}") for i in range(PIVOTS)]
+        least = [F.min(F.struct(F.xxhash64("class", F.lit(salt + i)), "class", "label", *_SKETCH)).alias(f"p{i}") for i in range(PIVOTS)]
         pivots = rows.groupBy("node").agg(*least).select("node", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p"))
-        pivots = pivots.select("node", "p.class", "p.label", "p.n", "p.s0", "p.s1").distinct()
+        pivots = pivots.select("node", "p.*").select("node", "class", "label", *_SKETCH).distinct()
         return compared(rows, pivots, F.lit(True))
 
     def likest(pairs: DataFrame) -> DataFrame:
@@ -177,39 +183,49 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
 
     def at_roots(labelled: DataFrame, first: int, last: int, salt: int) -> DataFrame:
         """Each class with the likest of the pivots of its nodes at the first level of trees first..last."""
-        rows = labelled.select("class", "label", "n", "s0", "s1", F.explode(F.slice("paths", first + 1, last - first)).alias("node"))
+        rows = labelled.select("class", "label", *_SKETCH, F.explode(F.slice("paths", first + 1, last - first)).alias("node"))
         several = rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
         rows = written(rows.join(several, "node"), "roots")
-        return likest(written(against_pivots(rows, salt).distinct(), "pairs"))
+        pairs = written(against_pivots(rows, salt).distinct(), "pairs")
+        best = likest(pairs)
+        dropped(rows, pairs)
+        return best
 
     def descend(labelled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         """Pairs to confirm from all trees, and the rows of nodes that are large to the end. labelled: (class, label, sig, paths, n, s0, s1)."""
         found, dense = [], []
-        slim = labelled.select("class", "label", "n", "s0", "s1")
+        slim = labelled.select("class", "label", *_SKETCH)
         frontier = labelled.select("class", "label", F.explode("paths").alias("node"))
         for depth in range(1, max_depth + 1):
-            if depth > 1:
-                frontier = written(frontier, "frontier")
             # a node whose classes are all linked already has nothing to find
             sizes = frontier.groupBy("node", "label").agg(F.count("*").alias("m"))
             counts = sizes.groupBy("node").agg((F.sum("m") - F.max("m")).alias("others"), F.max_by("label", F.struct("m", "label")).alias("main")).where("others > 0")
             held = written(frontier.select("class", "node").join(counts, "node"), "held")
+            if depth > 1:
+                dropped(frontier)
             if held.isEmpty():
+                dropped(held)
                 break
             small = held.where(F.col("others") <= leaf).select("node", "class", "main").join(slim, "class")
             found.append(written(compared(small.where("label <> main"), small, F.lit(True)).distinct(), "pairs"))
             large = held.where(F.col("others") > leaf).select("class", "node")
             if large.isEmpty():
+                dropped(held)
                 break
             if depth == max_depth:
                 dense = [written(large.join(slim, "class"), "dense")]
                 found.append(written(against_pivots(dense[0], ROUNDS * PIVOTS).distinct(), "pairs"))
+                dropped(held)
                 break
             frontier = large.join(labelled.select("class", "label", "sig"), "class").select("class", "node", "sig", "label").mapInArrow(_branch(similarity), "class bigint, node bigint, label bigint")
+            frontier = written(frontier, "frontier")
+            dropped(held)
         pairs = empty.withColumn("same", F.lit(0))
         for p in found:
             pairs = pairs.unionByName(p)
-        return written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs"), dense
+        pairs = written(pairs.groupBy("a", "b").agg(F.max("same").alias("same")), "pairs")
+        dropped(*found)
+        return pairs, dense
 
     empty = spark.createDataFrame([], "a bigint, b bigint")
     texts = classes.select("class", "first_id")
@@ -218,6 +234,7 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         """Those pairs whose full sets are close enough."""
         chosen = written(chosen.select("a", "b"), "chosen")
         if chosen.isEmpty():
+            dropped(chosen)
             return empty
         ids = written(chosen.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
         wanted = texts.join(ids, "class", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
@@ -229,7 +246,9 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         both = chosen.join(side("a"), "a").join(side("b"), "b")
         shared = F.size(F.array_intersect("a_items", "b_items"))
         union = F.size("a_items") + F.size("b_items") - shared
-        return written(both.where(100 * shared >= percent * union).select("a", "b").distinct(), "confirmed")
+        found = written(both.where(100 * shared >= percent * union).select("a", "b").distinct(), "confirmed")
+        dropped(chosen, ids, items)
+        return found
 
     def across(p: DataFrame) -> DataFrame:
         """Without pairs whose ends are linked already."""
@@ -264,11 +283,11 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         rest = compared(parts.where("label <> main"), parts, F.lit(True)).select("a", "b").distinct()
         linked(confirmed(rest.join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")))
 
-    named = classes.select("class", "first_id").join(labels.withColumnRenamed("node", "class"), "class", "left")
+    named = texts.join(labels.withColumnRenamed("node", "class"), "class", "left")
     named = named.withColumn("label", F.coalesce("label", "class"))
     lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
     named = named.join(lowest, "label").select("class", "component_id")
-    out = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
