@@ -40,7 +40,7 @@ def dropped(*tables: DataFrame) -> None:
     for df in tables:
         spark = df.sparkSession
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if "/sitelens/" in path:
+            if f"{shared_dir(spark)}/sitelens/" in path:
                 at = spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 from zlib import crc32
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.llm import fingerprints, html_text, line_dedup, mixing, near_dedup, packing, perplexity, quality, token_counts, toxicity
+from sitelens.llm import common, fingerprints, html_text, line_dedup, mixing, near_dedup, packing, perplexity, quality, token_counts, toxicity
 from sitelens.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -250,3 +251,27 @@ def test_pipeline(spark):
         rows = stage(spark, rows, "")
         assert rows.columns == [c.split()[0] for c in DOCS.split(", ")], name
     assert [n for n, _ in stages] == ["toxicity", "line_dedup", "near_dedup", "mixing", "packing"]
+
+
+def test_parity_sketches_never_refuse_a_link():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 148, 3000):
+        for _ in range(30):
+            a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, 1 + n // 20).astype(np.uint64)]))
+            odd = int(np.bitwise_count((near_dedup._parity(a) ^ near_dedup._parity(b)).view(np.uint64)).sum())
+            differing = len(np.setxor1d(a, b))
+            assert odd <= differing and (odd - differing) % 2 == 0
+            common = len(np.intersect1d(a, b))
+            if 100 * common >= 85 * (len(a) + len(b) - common):
+                assert 185 * odd <= 15 * (len(a) + len(b))
+    assert not near_dedup._parity(np.zeros(0, np.uint64)).any()
+
+
+def test_dropped_tables_are_gone_and_others_stay(spark, tmp_path):
+    one, two = common.written(spark.range(3), "one"), common.written(spark.range(0), "two")
+    own = tmp_path / "own"
+    spark.range(2).write.parquet(str(own))
+    path = one.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("//", "/")
+    common.dropped(one, two, spark.read.parquet(str(own)))
+    assert not os.path.exists(path) and own.exists()
