@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -39,8 +40,9 @@ def dropped(*tables: DataFrame) -> None:
     """Delete tables that written() made, once all that reads them is written itself."""
     for df in tables:
         spark = df.sparkSession
+        own = re.sub("^file:/+", "/", f"{shared_dir(spark)}/sitelens/")
         for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            if f"{shared_dir(spark)}/sitelens/" in path:
+            if own in path:
                 at = spark._jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
