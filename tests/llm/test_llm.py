@@ -205,6 +205,18 @@ def test_toxicity(spark):
     assert toxicity.toxicity_scores(rows.limit(0), labels.withColumnRenamed("y", "toxic")).count() == 0
 
 
+def test_toxicity_evidence_loses_confirmed_copies_of_one_label_only(spark):
+    rng = random.Random(8)
+    base = words(rng, 60)
+    shared = [f"common pair x{i}" for i in range(20)]
+    near = [" ".join([*base, f"end{i}"]) for i in range(5)]
+    rows = [*((t, 0) for t in shared), (shared[0].upper() + "!", 0), (shared[0], 1), *((t, 1) for t in near), (near[0], 0), ("", 0), (None, 1)]
+    got = toxicity.without_copies(spark.createDataFrame(rows, "text string, y int")).collect()
+    seen = Counter((" ".join(w.decode() for w in toxicity.tokens(r.text.encode())), r.y) for r in got if r.text)
+    assert max(seen.values()) == 1 and {(t, 0) for t in [*shared, near[0]]} | {(shared[0], 1)} <= set(seen)
+    assert len(seen) == 23 and sum((t, 1) in seen for t in near) == 1
+
+
 def test_quality(spark):
     rows, labels = labelled(spark, "LOUD!! NOISE!! ### $$$")
     got = quality.quality_scores(rows, labels.selectExpr("doc_id", "1 - y AS quality")).collect()
