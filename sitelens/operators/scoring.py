@@ -16,6 +16,13 @@ def looked_up(key: Column, table: dict[str, float]) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[key]
 
 
+def site_findings(found: DataFrame, pages: DataFrame) -> DataFrame:
+    """Findings of pages (audit_id, page_id, rule_id, category, severity, confidence) as one row an audit and rule, with its prevalence: the share of the audit's pages (audit_id, page_id) it fires on."""
+    sizes = pages.groupBy("audit_id").agg(F.count_distinct("page_id").alias("audited"))
+    fired = found.groupBy("audit_id", "category", "rule_id", "severity", "confidence").agg(F.count_distinct("page_id").alias("affected"))
+    return fired.join(sizes, "audit_id").withColumn("prevalence", F.least(F.lit(1.0), F.col("affected") / F.col("audited"))).drop("affected", "audited")
+
+
 def rule_penalties(issues: DataFrame) -> DataFrame:
     """(audit_id, category, rule_id, penalty): severity weight * confidence * prevalence summed, 1 at most; issues of no weight drop out."""
     part = looked_up(F.col("severity"), SEVERITY_WEIGHTS) * F.col("confidence") * F.col("prevalence")

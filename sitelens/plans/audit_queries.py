@@ -78,6 +78,24 @@ def overall_score(spark, sf_dir):
     return scoring.overall(category_scores(spark, sf_dir))
 
 
+def _site_findings(spark, sf_dir):
+    """Findings with prevalence, and the audits, of all pages."""
+    rows = page_checks.audited(parsed(pages(spark, sf_dir)))
+    return scoring.site_findings(page_checks.page_issues(rows), rows), rows
+
+
+def site_rule_penalties(spark, sf_dir):
+    return scoring.rule_penalties(_site_findings(spark, sf_dir)[0]).withColumn("penalty", F.round("penalty", 6))
+
+
+def site_category_scores(spark, sf_dir):
+    return scoring.category_scores(*_site_findings(spark, sf_dir))
+
+
+def site_overall_score(spark, sf_dir):
+    return scoring.overall(site_category_scores(spark, sf_dir))
+
+
 def link_verdicts(spark, sf_dir):
     return spark.sql(f"SELECT url, status, error FROM {_ANSWERS}").select("url", scoring.link_verdict(F.col("status"), F.col("error")).alias("v")).select("url", "v.broken", "v.severity", F.col("v.confidence").cast("double").alias("confidence"))
 
@@ -98,6 +116,15 @@ _POINTS = f"""SELECT a.audit_id, w.category, max_points, round_even(max_points *
   FROM (SELECT DISTINCT audit_id FROM {_ISSUES}) a CROSS JOIN {_WEIGHTS}
   LEFT JOIN (SELECT audit_id, category, sum(round_even(penalty, 4)) AS lost FROM ({_PARTS}) GROUP BY ALL) l ON l.audit_id = a.audit_id AND l.category = w.category"""
 
+_FIRED = f"""(SELECT {_SITE} AS audit_id, category, rule_id, severity, confidence, CASE rule_id WHEN 'short-title' THEN length({_TITLE}) BETWEEN 1 AND 9 WHEN 'long-title' THEN length({_TITLE}) > 70
+    WHEN 'missing-title' THEN html NOT LIKE '%<title>%' WHEN 'empty-title' THEN html LIKE '%<title>%' AND {_TITLE} = '' WHEN 'missing-h1' THEN html NOT LIKE '%<h1%' WHEN 'missing-meta-description' THEN html NOT LIKE '%name="description"%' ELSE html NOT LIKE '%rel="canonical"%' END AS fires
+  FROM pages, (VALUES ('metadata','missing-title','high',0.98),('metadata','empty-title','high',0.98),('metadata','short-title','low',0.6),('metadata','long-title','low',0.6),('structure','missing-h1','medium',0.95),
+    ('metadata','missing-meta-description','low',0.95),('metadata','missing-canonical','low',0.98)) AS r(category, rule_id, severity, confidence))"""
+_SITE_PARTS = f"SELECT audit_id, category, rule_id, least(1.0, any_value(weight::DOUBLE * confidence::DOUBLE) * avg(fires::INT)) AS penalty FROM {_FIRED} f JOIN {_SEVERITIES} ON s.severity = f.severity GROUP BY ALL HAVING penalty > 0"
+_SITE_POINTS = f"""SELECT a.audit_id, w.category, max_points, round_even(max_points * (1 - least(1.0::DOUBLE, coalesce(lost, 0))), 1)::DOUBLE AS points
+  FROM (SELECT DISTINCT {_SITE} AS audit_id FROM pages) a CROSS JOIN {_WEIGHTS}
+  LEFT JOIN (SELECT audit_id, category, sum(round_even(penalty, 4)) AS lost FROM ({_SITE_PARTS}) GROUP BY ALL) l ON l.audit_id = a.audit_id AND l.category = w.category"""
+
 
 def _when(rule: str, condition: str) -> str:
     return f"SELECT page_id, '{rule}' AS rule_id FROM pages WHERE {condition}"
@@ -128,6 +155,9 @@ _TABLE = {
     "rule_penalties": (rule_penalties, f"SELECT audit_id, category, rule_id, round(penalty, 6)::DOUBLE AS penalty FROM ({_PARTS})"),
     "category_scores": (category_scores, _POINTS),
     "overall_score": (overall_score, f"SELECT audit_id, round_even(100 * sum(points) / sum(max_points), 0)::INT AS score FROM ({_POINTS}) GROUP BY audit_id"),
+    "site_rule_penalties": (site_rule_penalties, f"SELECT audit_id, category, rule_id, round(penalty, 6)::DOUBLE AS penalty FROM ({_SITE_PARTS})"),
+    "site_category_scores": (site_category_scores, _SITE_POINTS),
+    "site_overall_score": (site_overall_score, f"SELECT audit_id, round_even(100 * sum(points) / sum(max_points), 0)::INT AS score FROM ({_SITE_POINTS}) GROUP BY audit_id"),
     "link_verdicts": (link_verdicts, f"""SELECT url, CASE WHEN error = 'redirect-loop' THEN true WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN false WHEN status >= 400 THEN true END AS broken,
   CASE WHEN error = 'redirect-loop' THEN 'medium' WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 'info' WHEN status IN (404, 410) THEN 'high' WHEN status >= 400 THEN 'medium' END AS severity,
   (CASE WHEN error = 'redirect-loop' THEN 0.85 WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 0.6 WHEN status IN (404, 410) THEN 0.95 WHEN status >= 500 THEN 0.6 WHEN status >= 400 THEN 0.8 END)::DOUBLE AS confidence FROM {_ANSWERS}"""),

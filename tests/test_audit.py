@@ -80,3 +80,14 @@ def test_golden_category_points(spark):
     issues = spark.createDataFrame([("s", "metadata", *r) for r in rows], "audit_id string, category string, rule_id string, severity string, confidence double, prevalence double")
     points = {r.category: r.points for r in scoring.category_scores(issues, issues).collect()}
     assert points["metadata"] == 14.0 and points["technical"] == 25.0
+
+
+def test_scores_come_from_all_pages(spark):
+    head = "<title>A title long enough</title><meta name=description content=x><link rel=canonical href='{}'>"
+    rows = [(i, f"https://a.example/{i}", (head.format(f"/{i}") if i else "<title>A title long enough</title>") + "<h1>x</h1>") for i in range(4)]
+    rows.append((9, "https://clean.example/", head.format("/") + "<h1>x</h1>"))
+    pages = page_checks.audited(parsed(spark.createDataFrame(rows, "page_id long, url string, html string")))
+    found = scoring.site_findings(page_checks.page_issues(pages), pages)
+    assert {(r.audit_id, r.rule_id, r.prevalence) for r in found.collect()} == {("a.example", "missing-meta-description", 0.25), ("a.example", "missing-canonical", 0.25)}
+    points = {(r.audit_id, r.category): r.points for r in scoring.category_scores(found, pages).collect()}
+    assert len(points) == 12 and points["clean.example", "metadata"] == 20.0 and points["a.example", "metadata"] == 18.6
