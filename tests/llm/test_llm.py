@@ -252,6 +252,12 @@ def test_html_text(spark):
     assert got[2] == got[3] == got[5] == "" and got[4] == "unclosed bold\n\nx &am"
 
 
+def test_html_text_between_inline_adverts():
+    long, short = "long words here " * 70, "a closing paragraph of the article, short but part of it."
+    page = f"<body><div><h1>Title</h1><p>{long}</p><div class=ad>buy</div><p>{short}</p><aside>x</aside><p>Tiny end.</p></div><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></body>"
+    assert html_text.main_blocks(page) == ["Title", long.strip(), short, "Tiny end."]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
