@@ -258,6 +258,14 @@ def test_html_text_between_inline_adverts():
     assert html_text.main_blocks(page) == ["Title", long.strip(), short, "Tiny end."]
 
 
+def test_html_text_keeps_sibling_articles_and_unmarked_text():
+    one, two = "first part " * 30, "second part " * 20
+    page = f"<body><p>menu</p><div><article><header class='entry-header'><h1>Title</h1></header><p>{one}</p></article><article><p>{two}</p></article></div></body>"
+    assert html_text.main_blocks(page) == ["Title", one.strip(), two.strip()]
+    page = f"<body><div><p>{one}</p><p>{two}</p></div><article><p>A teaser.</p></article></body>"
+    assert html_text.main_blocks(page)[:2] == [one.strip(), two.strip()]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
