@@ -217,6 +217,16 @@ def test_toxicity_evidence_loses_confirmed_copies_of_one_label_only(spark):
     assert len(seen) == 23 and sum((t, 1) in seen for t in near) == 1
 
 
+def test_toxicity_knows_an_expression_of_few_documents(spark):
+    rows, labels = labelled(spark, "blasted")
+    toxic = [i for i in range(1, 301, 4) if i != 8 and crc32(str(i).encode()) % 4 < 2][:3]
+    rows = rows.withColumn("text", F.when(F.col("doc_id").isin(toxic), F.concat("text", F.lit(" vile vermin"))).otherwise(F.col("text")))
+    plain = " ".join(words(random.Random(1), 20))
+    rows = rows.unionByName(docs(spark, [f"{plain} vile vermin", f"{plain} mild kitten"], 1001))
+    got = {r.doc_id: r.score for r in toxicity.toxicity_scores(rows, labels.withColumnRenamed("y", "toxic")).where("doc_id > 1000").collect()}
+    assert got[1001] > got[1002]
+
+
 def test_quality(spark):
     rows, labels = labelled(spark, "LOUD!! NOISE!! ### $$$")
     got = quality.quality_scores(rows, labels.selectExpr("doc_id", "1 - y AS quality")).collect()
