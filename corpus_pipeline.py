@@ -44,7 +44,7 @@ STAGES = [
     ("mixing", mix_sources),
     ("packing", pack),
 ]
-#: Tokenizers and trained models are beyond SQL; tests hold the stages against brute force.
+#: Tokenizers and trained models are beyond SQL. run() is held against nothing; a test runs stages 2 to 4 and looks at their columns.
 ORACLE_SQL = None
 
 
