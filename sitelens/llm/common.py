@@ -57,6 +57,22 @@ def checked_small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, *, hottest: int = 100_000, least: int = 500) -> DataFrame:
+    """rows with the columns of table (one row a key; a written table) but for n, by key.
+
+    n says how many of the rows have the key. Keys with more than one in `hottest` of all counted
+    rows (and more than `least`) are joined by broadcast, so that none fills a task; there are
+    fewer than `hottest` of them. The others are joined by a shuffle.
+    """
+    total = table.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) > max(least, total // hottest)
+    if not table.where(hot).limit(1).count():
+        return rows.join(table.drop(n), key)
+    few = F.broadcast(table.where(hot).drop(n))
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(table.where(~hot).drop(n), key))
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """Just these columns, so that clashing or extra names of the input stay out of the way."""
     return df.select(*(F.col(f"`{n}`") for n in names))
