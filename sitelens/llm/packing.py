@@ -5,9 +5,11 @@ what remains is a length below the window. Only the number of documents of each
 matters for the plan, so the plan is made on the driver from at most `window` counts: the longest
 remaining length opens a window, and a bitset subset-sum over the multiset of the other lengths
 (counts split into powers of two, backtracked to counts) fills it as close to capacity as it gets.
-An exact fill is repeated as often as its counts allow. A length that no multiset completes can
-never be completed later either: it goes to a stream, cut freely at window ends; the stream's last
-window is cut into powers of two, which need no padding. Documents find their place by their rank
+A fill is repeated as often as its counts allow. Where the best fill leaves slack, one more document
+(of the largest remaining length; all that are left are longer than the slack) is cut: its first
+ids fill the slack, the others go to a stream, which is cut freely at window ends. So does what is
+left when no document can be cut any more; the stream's last window is cut into powers of two,
+which need no padding. Documents find their place by their rank
 among the documents of the same remaining length, counted in buckets so that a common length is
 spread over many tasks.
 """
@@ -53,6 +55,7 @@ class TokenBytes(dict):
         super().__init__()
         self.tokenizer, self.most, self.older = tokenizer, most, {}
         self.model, self.split = tokenizer.model, is_plain_byte_level(tokenizer)
+        self.added = [t["content"] for t in json.loads(tokenizer.to_str()).get("added_tokens") or []]
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= self.most:
@@ -65,7 +68,7 @@ class TokenBytes(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        if not self.split or _SAFE.search(text):
+        if not self.split or _SAFE.search(text) or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, _FAST.findall(text)))
 
@@ -74,9 +77,7 @@ def load_tokenizer(path: str | None):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return tokenizer
+    return Tokenizer.from_file(path or public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _tokenize(path: str | None, end_id: int, window: int):
@@ -136,29 +137,38 @@ class Plan:
         self.window = window
         left = {k: v for k, v in counts.items() if v and 0 < k < window}
         used = dict.fromkeys(left, 0)
-        #: by length: (first rank, copies a window, offset, first sequence), by first rank
-        self.segments: dict[int, list[tuple[int, int, int, int]]] = {k: [] for k in left}
-        self.stream: dict[int, tuple[int, int]] = {}  # by length: first rank, first position
+        #: by length: (first rank, copies a window, offset, first sequence, ids there, position of the others in the stream), by first rank
+        self.segments: dict[int, list[tuple[int, int, int, int, int, int]]] = {k: [] for k in left}
         self.sequences = position = 0
+
+        def take(k: int, copies: int, times: int, offset: int, ids: int) -> None:
+            nonlocal position
+            self.segments[k].append((used[k], copies, offset, self.sequences, ids, position))
+            position += (k - ids) * copies * times
+            used[k] += copies * times
+            left[k] -= copies * times
+            if not left[k]:
+                del left[k]
+
         while left:
             length = max(left)
             others = {k: v - (k == length) for k, v in left.items() if k <= window - length and v > (k == length)}
             fill = best_fill(others, window - length)
-            if length + sum(k * v for k, v in fill.items()) < window:
-                self.stream[length] = (used[length], position)
-                position += length * left.pop(length)
-                continue
             fill[length] = fill.get(length, 0) + 1
-            times, offset = min(left[k] // v for k, v in fill.items()), 0
+            slack = window - sum(k * v for k, v in fill.items())
+            donor = max((k for k, v in left.items() if v > fill.get(k, 0)), default=0) if slack else 0
+            if slack and not donor:  # all that is left is in this window
+                for k, v in sorted(fill.items(), reverse=True):
+                    take(k, v, 1, 0, 0)
+                continue
+            times, offset = min(left[k] // (v + (k == donor)) for k, v in (fill | {donor: fill.get(donor, 0)} if donor else fill).items()), 0
             for k, v in sorted(fill.items(), reverse=True):
-                self.segments[k].append((used[k], v, offset, self.sequences))
+                take(k, v, times, offset, k)
                 offset += k * v
-                used[k] += times * v
-                left[k] -= times * v
-                if not left[k]:
-                    del left[k]
+            if donor:
+                take(donor, 1, times, offset, slack)
             self.sequences += times
-        self.stream_base, self.stream_end = self.sequences, position
+        self.stream_base = self.sequences
         last = position // window * window
         #: where the stream is cut past its last whole window
         self.cuts, at = [last], last
@@ -169,14 +179,12 @@ class Plan:
 
     def place(self, length: int, rank: int) -> list[tuple[int, int, int, int]]:
         """Pieces (start, length, sequence, offset) of the remaining tokens."""
-        first, position = self.stream.get(length, (None, 0))
-        if first is None or rank < first:
-            known = self.segments[length]
-            start, copies, offset, sequence = known[bisect_right(known, rank, key=lambda s: s[0]) - 1]
-            k = rank - start
-            return [(0, length, sequence + k // copies, offset + k % copies * length)]
-        at = position + (rank - first) * length
-        out, begin, end = [], at, at + length
+        known = self.segments[length]
+        first, copies, offset, sequence, ids, position = known[bisect_right(known, rank, key=lambda s: s[0]) - 1]
+        k = rank - first
+        out = [(0, ids, sequence + k // copies, offset + k % copies * ids)] if ids else []
+        at = position + k * (length - ids)
+        begin, end = at - ids, at + length - ids
         while at < end:
             if at >= self.cuts[0]:
                 i = bisect_right(self.cuts, at) - 1
