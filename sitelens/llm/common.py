@@ -57,20 +57,25 @@ def checked_small(df: DataFrame, most: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, *, hottest: int = 100_000, least: int = 500) -> DataFrame:
-    """rows with the columns of table (one row a key; a written table) but for n, by key.
+def small_enough(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, marked for broadcast if it has at most `most` (narrow) rows; else as it is, for a shuffled join. Counted on the table: df should be a written one."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, *, how: str = "inner", hottest: int = 100_000, least: int = 500) -> DataFrame:
+    """rows joined (inner or left) with table (a written one; one row a key) by key, without its column n.
 
     n says how many of the rows have the key. Keys with more than one in `hottest` of all counted
     rows (and more than `least`) are joined by broadcast, so that none fills a task; there are
     fewer than `hottest` of them. The others are joined by a shuffle.
     """
-    total = table.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) > max(least, total // hottest)
-    if not table.where(hot).limit(1).count():
-        return rows.join(table.drop(n), key)
-    few = F.broadcast(table.where(hot).drop(n))
+    found = table.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    line = max(least, (found["all"] or 0) // hottest)
+    if (found["most"] or 0) <= line:
+        return rows.join(table.drop(n), key, how)
+    hot = F.col(n) > line
     rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
-    return rows.join(few, key).unionByName(rest.join(table.where(~hot).drop(n), key))
+    return rows.join(F.broadcast(table.where(hot).drop(n)), key).unionByName(rest.join(table.where(~hot).drop(n), key, how))
 
 
 def pick(df: DataFrame, *names: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Connected components of a link table, by contraction."""
+"""Connected components of a link table, by pointer doubling and contraction."""
 
 from __future__ import annotations
 
@@ -8,26 +8,36 @@ from pyspark.sql import functions as F
 from .common import dropped, written
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", *, rounds: list[int] | None = None) -> DataFrame:
     """(node, label) for each node of a link; label: the smallest node reachable.
 
-    Each round maps every node two steps towards a smaller neighbour and contracts the links;
-    a link whose ends meet is dropped. The rounds end when no link is left (their number grows
-    as the logarithm of the longest chain). All tables stay distributed. Links to itself and
-    repeated links change nothing; null ends are dropped; no links: no rows.
+    In each round every node that has a smaller neighbour points to its smallest one. These
+    pointers form trees; they are doubled until all point to the roots of their trees, in as many
+    steps as the logarithm of the deepest tree, and the links are contracted to the roots. A link
+    whose ends meet is dropped; the rounds end when no link is left. All tables stay distributed;
+    a node that very many others point to is left to the splitting of skewed joins. Links to
+    itself and repeated links change nothing; null ends are dropped; no links: no rows. `rounds`,
+    if given, receives the doubling steps of each round.
     """
     x, y = F.col(a).cast("long"), F.col(b).cast("long")
     links = links.where(x.isNotNull() & y.isNotNull()).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     nodes = written(links.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("label", F.col("node")), "nodes")
     links = written(links.where("u <> v").distinct(), "links")
     while not links.isEmpty():
-        first = written(links.groupBy("u").agg(F.min("v").alias("p")), "parents")
-        on = first.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        up = written(first.join(on, "p", "left").select("u", F.coalesce("q", "p").alias("p")), "parents")
+        up, steps = written(links.groupBy("u").agg(F.min("v").alias("p")), "parents"), 0
+        while True:
+            on = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
+            further = written(up.select("u", "p").join(on, "p", "left").select("u", F.coalesce("q", "p").alias("p"), F.col("q").isNotNull().alias("moved")), "parents")
+            dropped(up)
+            up, steps = further, steps + 1
+            if up.where("moved").isEmpty():
+                break
+        if rounds is not None:
+            rounds.append(steps)
         above = lambda c: up.select(F.col("u").alias(c), F.col("p").alias(f"{c}_up"))
-        moved = links.join(above("u"), "u", "left").join(above("v"), "v", "left")
-        s, t = F.coalesce("u_up", "u"), F.coalesce("v_up", "v")
-        old, links = [first, up, links, nodes], written(moved.select(F.greatest(s, t).alias("u"), F.least(s, t).alias("v")).where("u <> v").distinct(), "links")
+        moved = links.join(above("u"), "u").join(above("v"), "v", "left")
+        t = F.coalesce("v_up", "v")
+        old, links = [up, links, nodes], written(moved.select(F.greatest("u_up", t).alias("u"), F.least("u_up", t).alias("v")).where("u <> v").distinct(), "links")
         nodes = written(nodes.join(above("label"), "label", "left").select("node", F.coalesce("label_up", "label").alias("label")), "nodes")
         dropped(*old)
     dropped(links)

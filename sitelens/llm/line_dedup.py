@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, dropped, hot_join, written
+from .common import documents, dropped, hot_join, small_enough, written
 
 
 def _lines(text: Column) -> Column:
@@ -41,11 +41,6 @@ def _end(side: int, p: Column) -> Column:
     return F.xxhash64(F.lit(side), p, F.call_function("substring_index", F.col("line"), F.lit(" "), -p if side else p))
 
 
-def small_enough(df: DataFrame, most: int) -> DataFrame:
-    """df, marked for broadcast if it has at most `most` rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _rest(words: str, drop: str, at: str) -> Column:
     """The words without word number `at` where `drop`, else all."""
     w = F.col(words)

@@ -14,9 +14,12 @@ Before that, in two rounds, each class is compared with the likest of a few pivo
 the roots of two trees, which links most groups at a cost that grows with the classes alone. The trees then skip
 nodes whose classes are all in one component and compare across components only: a node is small
 if at most `leaf` of its classes lie outside its largest component, and these are compared with all
-of it. A node that is still large at `max_depth` holds near copies of each other. There each class is compared with four pivots of the node; when these links
-have made components, all classes of such a node outside its largest component are compared with
-all classes of other components, so that no link between components is lost to the depth limit.
+of it. The number of trees follows from the recall wanted of a pair at the threshold that only a
+node at `max_depth` tells apart. In a node that is still large there, each class is compared with
+four pivots of the node; when these links have made components, all classes of such a node outside
+its largest component are compared with all classes of other components, so that no link between
+components is lost to the depth limit. The classes of a node are dealt out in blocks of `BLOCK`,
+and what they are compared with goes to each of its blocks, so that no node fills a task.
 """
 
 from __future__ import annotations
@@ -26,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, documents, dropped, mix, pick, pieces, shingle_hashes, text_bytes, written
+from .common import GOLDEN, WordHashes, documents, dropped, hot_join, mix, pieces, shingle_hashes, small_enough, text_bytes, written
 from .graph import components
 
 BINS = 128
@@ -37,9 +40,11 @@ BINS = 128
 PARITY = 512
 #: Rounds of pivots before the search and the trees of each, and the pivots of a node.
 ROUNDS, ROUND_TREES, PIVOTS = 2, 2, 4
+#: Classes of a node in one block.
+BLOCK = 1000
 _ODD = [f"o{i}" for i in range(PARITY // 64)]
 _SKETCH = ["n", "s0", "s1", *_ODD]
-_SIG_SCHEMA = f"doc_id bigint, n bigint, class bigint, s0 bigint, s1 bigint, {', '.join(f'{c} bigint' for c in _ODD)}, sig binary, paths array<bigint>"
+_SIG_SCHEMA = f"doc_id bigint, h bigint, n bigint, class bigint, s0 bigint, s1 bigint, {', '.join(f'{c} bigint' for c in _ODD)}, sig binary, paths array<bigint>"
 
 
 def _orders() -> np.ndarray:
@@ -88,11 +93,25 @@ def _signatures(k: int, trees: int):
                 for name, values in rows.items():
                     values.append(row.get(name))
             kinds = {"sig": pa.binary(), "paths": pa.list_(pa.int64())}
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), *(pa.array(v, kinds.get(name, pa.int64())) for name, v in rows.items())], names=["doc_id", *rows])
+            yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), *(pa.array(v, kinds.get(name, pa.int64())) for name, v in rows.items())], names=["doc_id", "h", *rows])
 
     return run
 
 
+def survival(similarity: float, depth: int) -> float:
+    """Chance that a pair of that similarity is still together in some node at the depth of a tree."""
+    second, p = 1 / similarity - 1, 1.0
+    for _ in range(depth - 1):
+        apart = 1 - similarity * p
+        p = 1 - (1 - second) * apart - second * apart**2
+    return similarity * p
+
+
+def trees_for(recall: float, similarity: float, depth: int) -> int:
+    """Trees after which a pair of that similarity has been together at the depth with chance `recall`."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
+
+
 def _branch(similarity: float):
     """(class, node, sig, label) -> (class, node, label): the children in which the class lies."""
     second = np.uint64(int((1 / similarity - 1) * 2**32))
@@ -139,41 +158,44 @@ def _bar(similarity: float) -> int:
     return math.floor(BINS * p - 6 * math.sqrt(BINS * p * (1 - p)))
 
 
-def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, trees: int = 16, leaf: int = 150, max_depth: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
+def _place():
+    """Where a row stands: by doc_id, null last, then by the hash of its text."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
 
-    A link joins two documents whose sets of k-word shingles have 100 * intersection >=
-    percent * union. component_id is the smallest doc_id reachable; kept: it is the document's
-    own. A null or blank text has an empty set and no links; with fewer than k words the whole
-    sequence is one shingle. Rows with equal sets, repeated rows among them, are linked. An
-    empty table gives no rows; other columns are ignored. Memory: one batch of texts a task.
-    """
+
+def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, recall: float, leaf: int, max_depth: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """Rows (doc_id, h, n, class; h = xxhash64(text), class null for empty sets), classes (class, first_id, first, m, label; m: its rows) and all else that was written."""
     if not 50 <= percent <= 100:
         raise ValueError("percent must lie in 50..100")
     similarity, bar = percent / 100, _bar(percent / 100)
+    trees = trees or trees_for(recall, min(similarity, 0.99), max_depth)
     spark = docs.sparkSession
-    docs = pick(docs, "doc_id", "text")
+    docs = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
     signed = written(docs.mapInArrow(_signatures(k, trees), _SIG_SCHEMA), "signed")
     some = signed.where("class is not null")
-    classes = written(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), *(F.first(c).alias(c) for c in (*_SKETCH, "sig", "paths"))), "classes")
+    classes = written(some.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.min(_place()).alias("first"), F.count("*").alias("m"), *(F.first(c).alias(c) for c in (*_SKETCH, "sig", "paths"))), "classes")
 
-    def compared(x: DataFrame, y: DataFrame, extra=None) -> DataFrame:
-        """Pairs of classes of the same node, under different labels, that may reach the threshold."""
-        x = x.select("node", *(F.col(c).alias(f"a_{c}") for c in ("class", "label", *_SKETCH)))
-        y = y.select("node", *(F.col(c).alias(f"b_{c}") for c in ("class", "label", *_SKETCH)))
+    def compared(x: DataFrame, y: DataFrame) -> DataFrame:
+        """Pairs of classes of the same node and block, under different labels, that may reach the threshold."""
+        x = x.select("node", "block", *(F.col(c).alias(f"a_{c}") for c in ("class", "label", *_SKETCH)))
+        y = y.select("node", "block", *(F.col(c).alias(f"b_{c}") for c in ("class", "label", *_SKETCH)))
         small, large = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
         same = F.lit(BINS) - F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))) - F.bit_count(F.col("a_s1").bitwiseXOR(F.col("b_s1")))
         odd = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in _ODD[1:]), F.bit_count(F.col("a_o0").bitwiseXOR(F.col("b_o0"))))
         close = (F.col("a_label") != F.col("b_label")) & (100 * small >= percent * large) & ((100 + percent) * odd <= (100 - percent) * (small + large)) & ((small < 64) | (same >= bar))
-        pairs = x.join(y, "node").where(close & (extra if extra is not None else F.col("a_class") < F.col("b_class")))
+        pairs = x.join(y, ["node", "block"]).where(close)
         return pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"), same.alias("same"))
 
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = lambda rows: rows.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
+    everywhere = lambda rows: rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+
     def against_pivots(rows: DataFrame, salt: int) -> DataFrame:
-        """Each class of rows (node, class, label, n, s0, s1) with PIVOTS classes of its node at most."""
+        """Each class of rows (node, m, class, label and sketch; m: classes of the node) with PIVOTS classes of its node at most."""
         least = [F.min(F.struct(F.xxhash64("class", F.lit(salt + i)), "class", "label", *_SKETCH)).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = rows.groupBy("node").agg(*least).select("node", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p"))
-        pivots = pivots.select("node", "p.*").select("node", "class", "label", *_SKETCH).distinct()
-        return compared(rows, pivots, F.lit(True))
+        pivots = rows.groupBy("node").agg(F.first("m").alias("m"), *least).select("node", "m", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p"))
+        pivots = pivots.select("node", "m", "p.*").select("node", "m", "class", "label", *_SKETCH).distinct()
+        return compared(dealt(rows), everywhere(pivots))
 
     def likest(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, same), each class with its likest partner."""
@@ -184,31 +206,31 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
     def at_roots(labelled: DataFrame, first: int, last: int, salt: int) -> DataFrame:
         """Each class with the likest of the pivots of its nodes at the first level of trees first..last."""
         rows = labelled.select("class", "label", *_SKETCH, F.explode(F.slice("paths", first + 1, last - first)).alias("node"))
-        several = rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("node")
-        rows = written(rows.join(several, "node"), "roots")
+        several = written(rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).where("l0 <> l1").select("node", "m", F.col("m").alias("n_rows")), "several")
+        rows = written(hot_join(rows, several, "node", "n_rows"), "roots")
         pairs = written(against_pivots(rows, salt).distinct(), "pairs")
         best = likest(pairs)
-        dropped(rows, pairs)
+        dropped(several, rows, pairs)
         return best
 
     def descend(labelled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-        """Pairs to confirm from all trees, and the rows of nodes that are large to the end. labelled: (class, label, sig, paths, n, s0, s1)."""
+        """Pairs to confirm from all trees, and the rows of nodes that are large to the end. labelled: (class, label, sig, paths, sketch)."""
         found, dense = [], []
         slim = labelled.select("class", "label", *_SKETCH)
         frontier = labelled.select("class", "label", F.explode("paths").alias("node"))
         for depth in range(1, max_depth + 1):
             # a node whose classes are all linked already has nothing to find
             sizes = frontier.groupBy("node", "label").agg(F.count("*").alias("m"))
-            counts = sizes.groupBy("node").agg((F.sum("m") - F.max("m")).alias("others"), F.max_by("label", F.struct("m", "label")).alias("main")).where("others > 0")
-            held = written(frontier.select("class", "node").join(counts, "node"), "held")
-            if depth > 1:
-                dropped(frontier)
+            counts = sizes.groupBy("node").agg((F.sum("m") - F.max("m")).alias("others"), F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("m")).where("others > 0")
+            counts = written(counts.withColumn("n_rows", F.col("m")), "counts")
+            held = written(hot_join(frontier.select("class", "node"), counts, "node", "n_rows"), "held")
+            dropped(counts, *([frontier] if depth > 1 else []))
             if held.isEmpty():
                 dropped(held)
                 break
-            small = held.where(F.col("others") <= leaf).select("node", "class", "main").join(slim, "class")
-            found.append(written(compared(small.where("label <> main"), small, F.lit(True)).distinct(), "pairs"))
-            large = held.where(F.col("others") > leaf).select("class", "node")
+            small = held.where(F.col("others") <= leaf).select("node", "m", "class", "main").join(slim, "class")
+            found.append(written(compared(everywhere(small.where("label <> main")), dealt(small)).distinct(), "pairs"))
+            large = held.where(F.col("others") > leaf).select("class", "node", "m")
             if large.isEmpty():
                 dropped(held)
                 break
@@ -228,7 +250,6 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         return pairs, dense
 
     empty = spark.createDataFrame([], "a bigint, b bigint")
-    texts = classes.select("class", "first_id")
 
     def confirmed(chosen: DataFrame) -> DataFrame:
         """Those pairs whose full sets are close enough."""
@@ -236,19 +257,31 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         if chosen.isEmpty():
             dropped(chosen)
             return empty
-        ids = written(chosen.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "ids")
-        wanted = texts.join(ids, "class", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
-        own = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["doc_id"]), "left_semi")
-        # a repeated doc_id can bring other texts along: the class of each text decides
-        items = own.mapInArrow(_shingle_rows(k), "class bigint, items array<bigint>").join(ids, "class", "left_semi")
-        items = written(items.dropDuplicates(["class"]), "items")
-        side = lambda c: items.select(F.col("class").alias(c), F.col("items").alias(f"{c}_items"))
-        both = chosen.join(side("a"), "a").join(side("b"), "b")
+        ids = written(chosen.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("m")), "ids")
+        wanted = written(classes.join(ids.select("class"), "class").select(F.col("first.doc_id").alias("wanted_id"), F.col("first.h").alias("wanted_h")).distinct(), "wanted")
+        own = docs.join(small_enough(wanted), docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (docs["h"] == F.col("wanted_h")), "left_semi")
+        items = own.select("doc_id", "text").mapInArrow(_shingle_rows(k), "class bigint, items array<bigint>").dropDuplicates(["class"])
+        items = written(items.join(ids, "class"), "items")
+        # a class that very many pairs share: its set goes to each block of them
+        found = ids.agg(F.max("m").alias("most"), F.sum("m").alias("all")).first()
+        line = max(BLOCK, found["all"] // 100_000)
+
+        def with_items(pairs: DataFrame, c: str, other: str) -> DataFrame:
+            sets = items.select(F.col("class").alias(c), F.col("items").alias(f"{c}_items"), "m")
+            if found["most"] <= line:
+                return pairs.join(sets.drop("m"), c)
+            hubs = sets.where(F.col("m") > line)
+            few = F.broadcast(hubs.select(c, "m"))
+            marked = pairs.join(few, c).withColumn("block", F.pmod(F.xxhash64(other), blocks).cast("int")).drop("m")
+            rest = pairs.join(few, c, "left_anti").join(sets.where(F.col("m") <= line).drop("m"), c)
+            return rest.unionByName(marked.join(everywhere(hubs).drop("m"), [c, "block"]).drop("block"))
+
+        both = with_items(with_items(chosen, "a", "b"), "b", "a")
         shared = F.size(F.array_intersect("a_items", "b_items"))
         union = F.size("a_items") + F.size("b_items") - shared
-        found = written(both.where(100 * shared >= percent * union).select("a", "b").distinct(), "confirmed")
-        dropped(chosen, ids, items)
-        return found
+        links = written(both.where(100 * shared >= percent * union).select("a", "b").distinct(), "confirmed")
+        dropped(chosen, ids, wanted, items)
+        return links
 
     def across(p: DataFrame) -> DataFrame:
         """Without pairs whose ends are linked already."""
@@ -263,43 +296,76 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
         nonlocal links, labels
         if not more.isEmpty():
             links = links.unionByName(more)
+            dropped(labels)
             labels = components(links)
 
     for i in range(ROUNDS):
         pairs = at_roots(labelled(classes), min(i * ROUND_TREES, trees), min((i + 1) * ROUND_TREES, trees), i * PIVOTS)
         linked(confirmed(pairs.join(tried, ["a", "b"], "left_anti")))
         tried = tried.unionByName(pairs)
-    pairs, dense = descend(written(labelled(classes), "labelled"))
-    pairs = written(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+    tree_rows = written(labelled(classes).drop("m"), "labelled")
+    found, dense = descend(tree_rows)
+    pairs = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
     # each class against its likest candidate, then what these leave apart
     first = likest(pairs)
     linked(confirmed(first))
     linked(confirmed(across(pairs.join(first, ["a", "b"], "left_anti"))))
     for rows in dense:
         parts = labelled(rows.drop("label"))
-        sizes = parts.groupBy("node", "label").agg(F.count("*").alias("m"))
-        largest = sizes.groupBy("node").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-        parts = written(parts.join(largest.drop("parts"), "node"), "parts")
-        rest = compared(parts.where("label <> main"), parts, F.lit(True)).select("a", "b").distinct()
+        sizes = parts.groupBy("node", "label").agg(F.count("*").alias("of_label"))
+        largest = sizes.groupBy("node").agg(F.max_by("label", F.struct("of_label", "label")).alias("main"), F.count("*").alias("parts"), F.sum("of_label").alias("n_rows")).where("parts > 1")
+        parts = written(hot_join(parts, written(largest.drop("parts"), "largest"), "node", "n_rows"), "parts")
+        rest = compared(everywhere(parts.where("label <> main")), dealt(parts)).select("a", "b").distinct()
         linked(confirmed(rest.join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")))
+        dropped(parts)
+    named = written(labelled(classes.select("class", "first_id", "first", "m")), "named")
+    dropped(classes, tree_rows, found, pairs, first, links, tried, labels, *dense)
+    return signed, named, [signed, named]
+
+
+def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, trees: int | None = None, recall: float = 0.995, leaf: int = 150, max_depth: int = 8) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
 
-    named = texts.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    named = named.withColumn("label", F.coalesce("label", "class"))
-    lowest = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    named = named.join(lowest, "label").select("class", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(named, "class", "left")
+    A link joins two documents whose sets of k-word shingles have 100 * intersection >=
+    percent * union. component_id is the smallest doc_id reachable; kept: it is the document's
+    own. A null or blank text has an empty set and no links; with fewer than k words the whole
+    sequence is one shingle. Rows with equal sets, repeated rows and rows of equal doc_id among
+    them, are linked; a null doc_id has the component_id of those it is linked with, or null. An
+    empty table gives no rows; other columns are ignored. Memory: one batch of texts a task.
+    `trees`: by default as many as `recall` wants at `max_depth` levels.
+    """
+    signed, named, _ = _components_of(docs, k, percent, trees, recall, leaf, max_depth)
+    lowest = written(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_rows")), "lowest")
+    named = written(hot_join(named.select("class", "label", F.col("m").alias("of_class")), lowest, "label", "n_rows").select("class", "component_id", "of_class"), "named")
+    out = hot_join(signed.select("doc_id", F.col("n").alias("n_shingles"), "class"), named, "class", "of_class", how="left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each_group(docs: DataFrame, *, k: int = 5, percent: int = 80, **more) -> DataFrame:
-    """docs without the documents whose group has one with a smaller doc_id; of repeated rows one stays."""
-    groups = near_duplicate_groups(docs, k=k, percent=percent, **more)
-    kept = groups.where("kept or doc_id is null").select("doc_id").distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    name = "__row_of_id"
-    docs = docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
-    return docs.withColumn(name, F.row_number().over(one)).where(f"{name} = 1 or doc_id is null").drop(name)
+def keep_one_of_each_group(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int | None = None, recall: float = 0.995, leaf: int = 150, max_depth: int = 8) -> DataFrame:
+    """docs without the rows whose group of near copies has an earlier one: by doc_id (null last), then by xxhash64(text).
+
+    Of rows that repeat doc_id and text one stays, the first by a hash of all its columns. Rows
+    without words (null and blank texts) are near copies of nothing and all stay; different texts
+    under one doc_id are told apart. An empty table gives none; all columns pass through. What
+    goes is broadcast if it has at most a million (doc_id, hash) pairs, else joined by a shuffle.
+    """
+    signed, named, tables = _components_of(docs, k, percent, trees, recall, leaf, max_depth)
+    best = written(named.groupBy("label").agg(F.min("first").alias("best"), F.count("*").alias("n_rows")), "best")
+    named = written(hot_join(named.select("class", "label", F.col("m").alias("of_class")), best, "label", "n_rows").select("class", "best", "of_class"), "named")
+    rows = written(hot_join(signed.select("doc_id", "h", "class"), named, "class", "of_class").select("doc_id", "h", (_place() != F.col("best")).alias("goes")).groupBy("doc_id", "h", "goes").agg(F.count("*").alias("n")), "places")
+    gone = written(rows.where("goes").select(F.col("doc_id").alias("__id"), F.col("h").alias("__of_text")), "gone")
+    twice = written(rows.where("not goes and n > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__of_text")), "twice")
+    dropped(best, named, rows, *tables)
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.withColumn("__h", F.xxhash64("text"))
+    same = lambda: F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__of_text"))
+    kept = keyed.join(small_enough(gone), same(), "left_anti")
+    if twice.isEmpty():
+        return kept.select(*names)
+    repeated = kept.join(small_enough(twice), same(), "left_semi")
+    one = repeated.groupBy("doc_id", "__h").agg(F.min_by(F.struct(*names), F.xxhash64(F.to_json(F.struct(*names)))).alias("__row")).select("__row.*")
+    return kept.join(small_enough(twice), same(), "left_anti").select(*names).unionByName(one)
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:
