@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, documents, dropped, hot_join, mix, pieces, shingle_hashes, small_enough, text_bytes, written
+from .common import GOLDEN, WordHashes, documents, dropped, hot_join, mix, shingle_hashes, small_enough, text_pieces, written
 from .graph import components
 
 BINS = 128
@@ -40,6 +40,8 @@ BINS = 128
 PARITY = 512
 #: Rounds of pivots before the search and the trees of each, and the pivots of a node.
 ROUNDS, ROUND_TREES, PIVOTS = 2, 2, 4
+#: Bytes of text that a task reads at once, and words whose hashes it remembers.
+PIECE, WORDS = 500_000, 150_000
 #: Classes of a node in one block.
 BLOCK = 1000
 _ODD = [f"o{i}" for i in range(PARITY // 64)]
@@ -47,14 +49,21 @@ _SKETCH = ["n", "s0", "s1", *_ODD]
 _SIG_SCHEMA = f"doc_id bigint, h bigint, n bigint, class bigint, s0 bigint, s1 bigint, {', '.join(f'{c} bigint' for c in _ODD)}, sig binary, paths array<bigint>"
 
 
+def _text_pieces(batches) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
+    """(batch, first row, texts of column 1) of pieces of bounded size."""
+    for batch in batches:
+        for at, texts in text_pieces(batch.column(1), PIECE):
+            yield batch, at, texts
+
+
 def _orders() -> np.ndarray:
     rng = np.random.default_rng(20240601)
     return np.stack([rng.permutation(BINS) for _ in range(BINS)])
 
 
-def _sets(column: pa.Array, k: int, hashes: WordHashes) -> Iterator[np.ndarray]:
+def _sets(texts: list[bytes], k: int, hashes: WordHashes) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text, A-Z lower-cased, words between ASCII white space."""
-    for t in text_bytes(column):
+    for t in texts:
         yield np.unique(shingle_hashes(hashes.of(t.lower().split()), k))
 
 
@@ -77,23 +86,23 @@ def _parity(u: np.ndarray) -> np.ndarray:
 
 def _signatures(k: int, trees: int):
     roots = mix(np.arange(1, trees + 1, dtype=np.uint64) * GOLDEN)
-    at = (roots % np.uint64(BINS)).astype(np.int64)
+    bins = (roots % np.uint64(BINS)).astype(np.int64)
 
     def run(batches):
-        hashes, orders = WordHashes(), _orders()
-        for batch in batches:
+        hashes, orders = WordHashes(WORDS), _orders()
+        for batch, first, texts in _text_pieces(batches):
             rows = {name: [] for name in ("n", "class", "s0", "s1", *_ODD, "sig", "paths")}
-            for u in _sets(batch.column(1), k, hashes):
+            for u in _sets(texts, k, hashes):
                 row = {"n": len(u)}
                 if len(u):
                     sig = _signature(u, orders)
                     bits = np.packbits((mix(sig.astype(np.uint64) + GOLDEN) & np.uint64(1)).astype(np.uint8)).view(np.int64)
                     row |= {"class": _class(u), "s0": int(bits[0]), "s1": int(bits[1]), "sig": sig.tobytes(), **dict(zip(_ODD, _parity(u).tolist()))}
-                    row["paths"] = mix(roots ^ mix(sig[at].astype(np.uint64) + GOLDEN)).view(np.int64)
+                    row["paths"] = mix(roots ^ mix(sig[bins].astype(np.uint64) + GOLDEN)).view(np.int64)
                 for name, values in rows.items():
                     values.append(row.get(name))
             kinds = {"sig": pa.binary(), "paths": pa.list_(pa.int64())}
-            yield pa.record_batch([batch.column(0).cast(pa.int64()), batch.column(2), *(pa.array(v, kinds.get(name, pa.int64())) for name, v in rows.items())], names=["doc_id", "h", *rows])
+            yield pa.record_batch([batch.column(0).slice(first, len(texts)).cast(pa.int64()), batch.column(2).slice(first, len(texts)), *(pa.array(v, kinds.get(name, pa.int64())) for name, v in rows.items())], names=["doc_id", "h", *rows])
 
     return run
 
@@ -141,13 +150,10 @@ def _class(u: np.ndarray) -> int:
 
 def _shingle_rows(k: int):
     def run(batches):
-        hashes = WordHashes()
-        for batch in batches:
-            column = batch.column(1)
-            sizes = np.fromiter(map(len, text_bytes(column)), np.int64, len(column))
-            for at, end in pieces(sizes):
-                sets = [u for u in _sets(column.slice(at, end - at), k, hashes) if len(u)]
-                yield pa.record_batch([pa.array(map(_class, sets), pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], names=["class", "items"])
+        hashes = WordHashes(WORDS)
+        for _, _, texts in _text_pieces(batches):
+            sets = [u for u in _sets(texts, k, hashes) if len(u)]
+            yield pa.record_batch([pa.array(map(_class, sets), pa.int64()), pa.array([u.view(np.int64) for u in sets], pa.list_(pa.int64()))], names=["class", "items"])
 
     return run
 
@@ -323,7 +329,7 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
     return signed, named, [signed, named]
 
 
-def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, trees: int | None = None, recall: float = 0.995, leaf: int = 150, max_depth: int = 8) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, trees: int | None = None, recall: float = 0.9999, leaf: int = 150, max_depth: int = 8) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text, ...).
 
     A link joins two documents whose sets of k-word shingles have 100 * intersection >=
@@ -342,7 +348,7 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one_of_each_group(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int | None = None, recall: float = 0.995, leaf: int = 150, max_depth: int = 8) -> DataFrame:
+def keep_one_of_each_group(docs: DataFrame, *, k: int = 5, percent: int = 80, trees: int | None = None, recall: float = 0.9999, leaf: int = 150, max_depth: int = 8) -> DataFrame:
     """docs without the rows whose group of near copies has an earlier one: by doc_id (null last), then by xxhash64(text).
 
     Of rows that repeat doc_id and text one stays, the first by a hash of all its columns. Rows
