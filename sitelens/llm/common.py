@@ -19,10 +19,12 @@ _fallback_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a fresh local one only where none is set."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where none is set, a fresh local one in local mode; on a cluster an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _fallback_dir:
         _fallback_dir.append(tempfile.mkdtemp(prefix="sitelens-"))
     return _fallback_dir[0]

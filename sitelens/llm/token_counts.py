@@ -3,9 +3,11 @@
 Texts split at ASCII white space into pre-tokens; each gets the word mark in front. Distinct
 pre-tokens go into a trie whose nodes keep the best forward score of their prefix and the number
 of pieces on that best way, so a prefix that many pre-tokens share is scored once; the node where
-a pre-token ends gives its count. The pieces come from a public vocabulary. Where that file holds
-merge ranks instead of unigram scores, a piece of rank r has the Zipf log-probability
--log(r + 2.7). A character that no piece covers counts one token for each UTF-8 byte.
+a pre-token ends gives its count. The pieces come from a public vocabulary, with its unigram scores.
+Where that file holds merge ranks instead, a piece of rank r has the Zipf log-probability
+-log(r + 2.7); nothing is trained here. A character that no piece covers counts one token for each
+UTF-8 byte. A pre-token too long to share a prefix with others is scored outside the trie, by the
+same steps, keeping only as many scores as the longest piece reaches back.
 """
 
 from __future__ import annotations
@@ -16,9 +18,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import documents, pick, text_bytes
+from .common import documents, pick, text_pieces
 
 MARK = "▁"
+#: Longest pre-token, in characters, that goes into the trie.
+LONG = 1_000
 BYTE_SCORE = -25.0
 
 
@@ -29,7 +33,10 @@ def load_pieces(path: str | None = None) -> dict[str, float]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path or public_tokenizers.path("piece_bpe_32k.model"))
     ids = [i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
-    return {model.id_to_piece(i): -math.log(r + 2.7) for r, i in enumerate(ids)}
+    scores = [model.get_score(i) for i in ids]
+    if all(s == int(s) for s in scores):  # merge ranks
+        scores = [-math.log(r + 2.7) for r in range(len(ids))]
+    return {model.id_to_piece(i): s for i, s in zip(ids, scores, strict=True)}
 
 
 class PieceTrie:
@@ -69,13 +76,29 @@ class PieceTrie:
             path.append(node)
         return pieces[node]
 
+    def outside(self, word: str) -> int:
+        """insert() without the trie."""
+        scores, last = self.scores, [(0.0, 0)]
+        for i, ch in enumerate(word, 1):
+            n = len(ch.encode("utf-8", "replace"))
+            best, count = last[-1][0] + BYTE_SCORE * n, last[-1][1] + n
+            for size in range(1, min(i, self.ends.get(ch, 0)) + 1):
+                s = scores.get(word[i - size : i])
+                if s is not None and last[-size][0] + s >= best:
+                    best, count = last[-size][0] + s, last[-size][1] + 1
+            last = [*last[1 - self.longest :], (best, count)] if self.longest > 1 else [(best, count)]
+        return last[-1][1]
+
     def count(self, word: bytes) -> int:
         n = self.terminal.get(word)
         if n is not None:
             return n
+        text = MARK + word.decode("utf-8", "replace")
+        if len(text) > LONG:
+            return self.outside(text)
         if len(self.score) > self.most:
             self.reset()
-        n = self.terminal[word] = self.insert(MARK + word.decode("utf-8", "replace"))
+        n = self.terminal[word] = self.insert(text)
         return n
 
 
@@ -84,7 +107,7 @@ def _count(path: str | None):
         trie = PieceTrie(load_pieces(path))
         for batch in batches:
             tokens, words, chars = [], [], []
-            for t in text_bytes(batch.column(1)):
+            for t in (t for _, some in text_pieces(batch.column(1)) for t in some):
                 ws = t.split()
                 got = list(map(trie.terminal.get, ws))
                 if None in got:
