@@ -3,7 +3,8 @@
 Each document of a source is repeated a Poisson number of times whose mean is the source's target
 rate: target share * total size / size of the source. The number comes from inverting the Poisson
 distribution at a uniform hash of seed and doc_id, so it can be computed again anywhere. Copies
-are explode()d and dealt out by a hash of seed, doc_id and copy, in whose order they then stand.
+are explode()d and dealt out by a hash of seed, doc_id and copy, in whose order they then stand, to as
+many partitions as their expected size wants.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, small_enough, written
 
 
 def uniform(*parts) -> F.Column:
@@ -54,16 +55,18 @@ def poisson_steps(rate) -> F.Column:
     return F.when(rate > 0, terms).otherwise(F.array(F.lit(1.0)))
 
 
-def mixed(docs: DataFrame, *, power: float = 0.5, weights: dict[str | None, float] | None = None, seed: int = 7, shuffle: bool = True) -> DataFrame:
+def mixed(docs: DataFrame, *, power: float = 0.5, weights: dict[str | None, float] | None = None, seed: int = 7, shuffle: bool = True, chars: int = 100_000_000) -> DataFrame:
     """docs (doc_id, text, source, ...) with copy_no (from 0) and mix_key, repeated to the target rates.
 
     A null source is a source of its own; a null or empty text has size 1; a null doc_id hashes
     as an empty one; rows that repeat a doc_id are repeated equally often; an empty table gives
-    no rows. Columns of docs named copy_no or mix_key are replaced. Rates are one row a source:
-    Spark broadcasts them while they are small and splits hot sources of a shuffled join.
+    no rows. Columns of docs named copy_no or mix_key are replaced. Rates are one row a source,
+    counted once: they are broadcast while there are at most 10,000, and beyond that Spark splits
+    hot sources of a shuffled join. `chars`: code points of text a partition is to hold.
     """
     docs = docs.drop("copy_no", "mix_key")
-    rates = source_rates(docs, power=power, weights=weights).select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps"))
+    known = written(source_rates(docs, power=power, weights=weights), "rates")
+    rates = small_enough(known, 10_000).select(F.col("source").alias("__source"), poisson_steps(F.col("rate")).alias("__steps"))
     u = uniform(F.lit(seed), F.col("doc_id"))
     out = docs.join(rates, docs["source"].eqNullSafe(F.col("__source"))).withColumn("__u", u)
     copies = F.size(F.filter("__steps", lambda s: s < F.col("__u")))
@@ -71,7 +74,8 @@ def mixed(docs: DataFrame, *, power: float = 0.5, weights: dict[str | None, floa
     out = out.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
     out = out.withColumn("mix_key", uniform(F.lit(seed + 1), F.col("doc_id"), F.col("copy_no")))
     if shuffle:
-        n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        expected = known.agg(F.sum(F.col("size") * F.col("rate"))).first()[0] or 0.0
+        n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(expected // chars) + 1)
         out = out.repartition(n, "mix_key").sortWithinPartitions("mix_key", "doc_id")
     return out
 
