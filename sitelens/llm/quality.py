@@ -10,10 +10,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, crc_fold, documents, mix, pick, text_bytes
+from .common import GOLDEN, WordHashes, crc_fold, documents, mix, pick, text_bytes, text_pieces
 from .learn import fit_logistic, labelled_sample
 
 _CLASS = np.zeros(256, np.uint8)
@@ -126,12 +126,11 @@ def _train_rows(batches):
 
 def _means(weights: np.ndarray, trans: np.ndarray):
     def run(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(200_000)
         for batch in batches:
             out = []
-            texts = text_bytes(batch.column(1))
-            for at in range(0, len(texts), 400):
-                parts = [line_features(t, hashes) for t in texts[at : at + 400]]
+            for _, texts in text_pieces(batch.column(1), 500_000):
+                parts = [line_features(t, hashes) for t in texts]
                 lengths = np.array([len(n) for _, n in parts])
                 starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
                 odds, _ = chain_marginals(np.concatenate([f @ weights for f, _ in parts]), starts, lengths, trans)
@@ -147,12 +146,13 @@ def _mean(odds: np.ndarray, size: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(p * size, starts) / np.add.reduceat(size, starts)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, sample: int = 3_000, threshold: float = 0.3) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, sample: int = 3_000, sample_lines: int = 200_000, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text, ...).
 
     Learns from labels.quality of rows outside held_out (crc32 of doc_id modulo 5 is 0), from
-    `sample` labelled documents at most: remainders 1 to 3 fit the chain, every line taking its
-    document's label, and 4 the calibration. Null labels and labels of unknown documents count
+    `sample` labelled documents with `sample_lines` lines in all at most (none of more than a
+    hundredth of them): remainders 1 to 3 fit the chain, every line taking its document's label,
+    and 4 the calibration. Null labels and labels of unknown documents count
     for nothing; with labels of one class only, all scores lie near it. A null or empty text is
     one blank line. A null doc_id is never held out. Repeated rows give repeated rows, an empty
     table none; other columns are ignored. Memory: a batch of texts with their line features.
@@ -160,7 +160,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | Non
     docs = pick(docs, "doc_id", "text")
     fold = crc_fold("doc_id", 5)
     held_out = F.coalesce(fold == 0, F.lit(False)) if held_out is None else held_out
-    rows = labelled_sample(docs, labels, "quality", fold != 0, sample)
+    rows = within_lines(labelled_sample(docs, labels, "quality", fold != 0, sample), sample_lines)
     rows = rows.select("doc_id", "text", "y").mapInArrow(_train_rows, "doc_id bigint, y int, x binary, n binary").withColumn("fold", fold).orderBy("doc_id").toArrow()
     x = [np.frombuffer(b, np.float32).reshape(-1, FEATURES).astype(float) for b in rows.column("x").to_pylist()]
     n = [np.frombuffer(b, np.float32).astype(float) for b in rows.column("n").to_pylist()]
@@ -177,5 +177,15 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | Non
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def within_lines(rows: DataFrame, most: int) -> DataFrame:
+    """The rows (doc_id, text, y) of a bounded sample, in the order of a hash of doc_id, as far as their lines sum to `most`."""
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
+    rows = rows.withColumn("lines", F.coalesce(lines, F.lit(1)).cast("long")).where(F.col("lines") <= most // 100)
+    sizes = rows.groupBy("doc_id").agg(F.sum("lines").alias("lines"))
+    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id")
+    kept = sizes.withColumn("so_far", F.sum("lines").over(so_far)).where(F.col("so_far") <= most).select("doc_id")
+    return rows.drop("lines").join(F.broadcast(kept), "doc_id", "left_semi")
+
+
 def op2_quality(spark, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
