@@ -7,7 +7,8 @@ interpolated probabilities of all four orders are joins and sums over the distin
 the number of distinct n-grams a language has grows with its input. Perplexity is a word's: the
 n-grams' log-probabilities over the number of words, so that marks strung to words count. The model is one table
 (lang, key, logp). While it has at most `broadcast_ngrams` rows it is sent to the tasks as sorted
-key arrays; beyond that the n-grams of each text, counted, are joined with the table.
+key arrays; beyond that the n-grams of each text, counted, are joined with the table, the commonest
+by broadcast.
 
 A document is kept if its log perplexities, a word's and a code point's, both lie between their
 language's bands: `bands` and `char_bands` robust standard deviations (quartile range / 1.349) around the median of all documents of the language
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, checked_small, documents, mix, text_bytes, text_pieces, written
+from .common import GOLDEN, WordHashes, checked_small, documents, hot_join, mix, text_pieces, written
 
 ORDER, WORDS = 4, 8
 #: Code points whose n-grams a task holds at once, distinct n-grams it sums before handing them on, and rows it hands on at a time.
@@ -89,7 +90,7 @@ def _count(batches):
 
 
 def ngram_model(docs: DataFrame) -> DataFrame:
-    """(lang, key, logp) for each n-gram of docs (text, lang): interpolated modified Kneser-Ney."""
+    """(lang, key, logp, a) for each n-gram of docs (text, lang): interpolated modified Kneser-Ney; a: its count."""
     counts = docs.mapInArrow(_count, "lang string, key bigint, a bigint").groupBy("lang", "key").agg(F.sum("a").alias("a"))
     orders = {ORDER: written(counts, "ngrams")}
     for m in range(ORDER - 1, 0, -1):
@@ -113,8 +114,8 @@ def ngram_model(docs: DataFrame) -> DataFrame:
         else:
             t = t.withColumn("below", F.col("key").bitwiseAND(F.lit((1 << (16 * (m - 1))) - 1)))
             t = t.join(lower.select("lang", F.col("key").alias("below"), F.col("p").alias("q")), ["lang", "below"])
-            lower = t.select("lang", "key", ((F.col("a") - F.col("d")) / F.col("s") + F.col("freed") / F.col("s") * F.col("q")).alias("p"))
-    return lower.select("lang", "key", F.log("p").cast("float").alias("logp"))
+            lower = t.select("lang", "key", ((F.col("a") - F.col("d")) / F.col("s") + F.col("freed") / F.col("s") * F.col("q")).alias("p"), "a")
+    return lower.select("lang", "key", F.log("p").cast("float").alias("logp"), "a")
 
 
 def repeated_window_words(words: np.ndarray, size: int = WORDS) -> int:
@@ -171,14 +172,15 @@ _SCORED = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symb
 def _gram_rows(batches):
     """(row, text, lang) -> (row, lang, key, times)."""
     for batch in batches:
-        for row, t, lang in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        texts = (t for _, some in text_pieces(batch.column(1), PIECE) for t in some)
+        for row, t, lang in zip(batch.column(0).to_pylist(), texts, batch.column(2).to_pylist(), strict=True):
             keys, times = _summed(ngram_keys(t))
             yield pa.record_batch([pa.array([row] * len(keys), pa.int64()), pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(times, pa.int64())], names=["row", "lang", "key", "times"])
 
 
 def _sent(model: DataFrame):
     """The model as sorted arrays, broadcast to the tasks."""
-    arrow = model.toArrow()
+    arrow = model.drop("a").toArrow()
     codes = arrow.column("lang").combine_chunks().dictionary_encode()
     keys, logp = arrow.column("key").to_numpy().view(np.uint64), arrow.column("logp").to_numpy()
     out = {}
@@ -191,14 +193,16 @@ def _sent(model: DataFrame):
 
 def perplexities(docs: DataFrame, *, broadcast_ngrams: int = 4_000_000) -> DataFrame:
     """Base counts and log_ppl (a word's; null for texts without words or under four code points) of each row of docs (doc_id, text, lang)."""
-    docs = docs.select(F.col("doc_id"), F.col("text"), F.coalesce("lang", F.lit("")).alias("lang"))
+    docs = docs.select(F.col("doc_id"), F.col("text"), F.coalesce(F.concat(F.lit("="), F.col("lang").cast("string")), F.lit("")).alias("lang"))
     model = written(ngram_model(docs.select("text", "lang")), "model")
     if model.limit(broadcast_ngrams + 1).count() <= broadcast_ngrams:
         scored = docs.mapInArrow(_score(_sent(model)), _SCORED)
     else:
         docs = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
         grams = docs.select("row", "text", "lang").mapInArrow(_gram_rows, "row bigint, lang string, key bigint, times bigint")
-        sums = grams.join(model, ["lang", "key"]).groupBy("row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("total"))
+        # an n-gram has no more rows than it has occurrences
+        ngram = F.struct("lang", "key").alias("ngram")
+        sums = hot_join(grams.select("row", ngram, "times"), model.select(ngram, "logp", "a"), "ngram", "a").groupBy("row").agg(F.sum(F.col("times") * F.col("logp").cast("double")).alias("total"))
         base = docs.select("row", "text", "lang").mapInArrow(_score(None), _SCORED).drop("logp").withColumnRenamed("doc_id", "row")
         scored = base.join(sums, "row", "left").join(docs.select("row", "doc_id"), "row").withColumn("logp", F.col("total")).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "logp")
     return scored.withColumn("log_ppl", F.when((F.col("n_grams") > 0) & (F.col("n_words") > 0), -F.col("logp") / F.col("n_words"))).withColumn("log_ppl_char", F.when(F.col("n_grams") > 0, -F.col("logp") / F.col("n_grams"))).drop("logp")
@@ -227,6 +231,7 @@ def quality_rules(docs: DataFrame, *, bands: float = 6.0, char_bands: float = 4.
         spread = F.greatest((high - low) / 1.349, F.lit(0.01))
         return F.coalesce(F.abs(F.col(column) - middle) <= width * spread * F.sqrt(1 + short / F.greatest(F.col("n_grams"), F.lit(1))), F.lit(True))
 
+    scored = scored.withColumn("lang", F.when(F.col("lang") != "", F.expr("substring(lang, 2)")))
     out = scored.withColumn("kept", ~F.col("base_failed") & inside("log_ppl", bands) & inside("log_ppl_char", char_bands))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "log_ppl_char", "lang")
 
