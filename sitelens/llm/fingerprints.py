@@ -1,10 +1,12 @@
 """Document fingerprints: threshold-scaled sketches.
 
 The shingles of a text are its runs of `size` code points (the whole text where it is shorter).
-The sketch keeps every distinct shingle hash below a fixed fraction of the hash range; where none
-is below, the smallest hash stands in, so that only empty texts have empty sketches. Sketches of
-parts merge by union, and the containment of one text in another is estimated from the share of
-its hashes that the other's sketch has, however unequal the two are in length.
+The sketch keeps every distinct shingle hash (32 bits) below a fixed fraction of the hash range, at
+every length, so sketches of parts merge by union, and the containment of one text in another is
+estimated from the share of its hashes that the other's sketch has, however unequal the two are in
+length. A text of at most SMALL distinct shingles says too little that way: its fingerprint has, in
+a field of its own behind a plus sign, the hashes above the threshold too, and two such texts are
+compared on all of them.
 """
 
 from __future__ import annotations
@@ -17,16 +19,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, documents, mix, pick, text_bytes, written
+from .common import GOLDEN, documents, mix, pick, text_bytes, text_pieces, written
 
 BASE = np.uint64(0x9E3779B97F4A7C55)
+#: Distinct shingles up to which a fingerprint holds them all.
+SMALL = 64
 
 
-def sketch(text: str, size: int = 16, one_in: int = 32) -> np.ndarray:
-    """The sorted hashes kept."""
+def shingles(text: str, size: int) -> np.ndarray:
+    """The sorted distinct 32-bit hashes of a text's shingles."""
     x = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
     if not len(x):
-        return x
+        return x.astype(np.uint32)
     with np.errstate(over="ignore"):
         if len(x) < size or size & (size - 1):
             width, h = min(size, len(x)), np.zeros(len(x) - min(size, len(x)) + 1, np.uint64)
@@ -39,19 +43,42 @@ def sketch(text: str, size: int = 16, one_in: int = 32) -> np.ndarray:
                 h = h[:-width] * power + h[width:]
                 width, power = width * 2, power * power
         h = mix(h ^ (np.full(1, width, np.uint64) * GOLDEN))
-    low = h[h < np.uint64(2**64 // one_in)]
-    return np.unique(low) if len(low) else h.min(keepdims=True)
+    return np.unique((h >> np.uint64(32)).astype(np.uint32))
 
 
-def as_text(hashes: np.ndarray) -> str:
-    return base64.b64encode(hashes.astype("<u8").tobytes()).decode()
+class Fingerprint:
+    """kept: the sorted hashes below the threshold; rest: those above it, None where there are too many."""
 
+    __slots__ = ("kept", "rest")
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Share of the smaller sketch that the other has; two empty ones are alike, one empty one is like nothing."""
-    if not len(a) or not len(b):
-        return float(len(a) == len(b))
-    return len(np.intersect1d(a, b, assume_unique=True)) / min(len(a), len(b))
+    def __init__(self, kept: np.ndarray, rest: np.ndarray | None):
+        self.kept, self.rest = kept, rest
+
+    def __str__(self) -> str:
+        written = lambda x: base64.b64encode(x.astype("<u4").tobytes()).decode()
+        return written(self.kept) if self.rest is None else f"{written(self.kept)}+{written(self.rest)}"
+
+    def merged(self, other: Fingerprint) -> Fingerprint:
+        """The fingerprint of both texts' shingles."""
+        kept = np.union1d(self.kept, other.kept)
+        rest = None if self.rest is None or other.rest is None else np.union1d(self.rest, other.rest)
+        return Fingerprint(kept, rest if rest is not None and len(kept) + len(rest) <= SMALL else None)
+
+
+def fingerprint(text: str, size: int = 12, one_in: int = 8) -> Fingerprint:
+    found = shingles(text, size)
+    low = np.searchsorted(found, 2**32 // one_in)
+    return Fingerprint(found[:low], found[low:] if len(found) <= SMALL else None)
+
+
+def containment(a: Fingerprint, b: Fingerprint) -> float:
+    """Share of the smaller one's shingles that the other has; two empty texts are alike, an empty one is like nothing else."""
+    x, y = a.kept, b.kept
+    if a.rest is not None and b.rest is not None:
+        x, y = np.concatenate([x, a.rest]), np.concatenate([y, b.rest])
+    if not len(x) or not len(y):
+        return float(a.rest is not None and b.rest is not None and len(x) == len(y))
+    return len(np.intersect1d(x, y, assume_unique=True)) / min(len(x), len(y))
 
 
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -61,19 +88,19 @@ class _Rows:
     """Output rows from pairs of a document and the next one."""
 
     def __init__(self, size: int, one_in: int):
-        self.args, self.last = (size, one_in), ("", sketch("", size, one_in))
+        self.args, self.last = (size, one_in), ("", fingerprint("", size, one_in))
         self.rows: list[tuple] = []
 
-    def of(self, text: str) -> np.ndarray:
+    def of(self, text: str) -> Fingerprint:
         if self.last[0] is not text:
-            self.last = (text, sketch(text, *self.args))
+            self.last = (text, fingerprint(text, *self.args))
         return self.last[1]
 
     def add(self, doc_id, text: str, after: str) -> None:
         n = len(text)
         edited = text[: n - n // 3] + after[: n // 3]
-        own, changed, following = self.of(text), sketch(edited, *self.args), self.of(after)
-        self.rows.append((doc_id, n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), as_text(own), as_text(changed), containment(own, changed), containment(own, following)))
+        own, changed, following = self.of(text), fingerprint(edited, *self.args), self.of(after)
+        self.rows.append((doc_id, n, hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), str(own), str(changed), containment(own, changed), containment(own, following)))
 
     def batch(self) -> pa.RecordBatch:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
@@ -89,7 +116,8 @@ def _within(size: int, one_in: int):
     def run(batches):
         out, held = _Rows(size, one_in), None
         for batch in batches:
-            for bucket, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
+            texts = (t for _, some in text_pieces(batch.column(2)) for t in some)
+            for bucket, doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts, strict=True):
                 row = (bucket, doc_id, text.decode("utf-8", "replace"))
                 if held and held[0] == bucket:
                     out.add(held[1], held[2], row[2])
@@ -112,7 +140,7 @@ def _between(size: int, one_in: int):
     return run
 
 
-def fingerprints_with_edits(docs: DataFrame, *, size: int = 16, one_in: int = 32) -> DataFrame:
+def fingerprints_with_edits(docs: DataFrame, *, size: int = 12, one_in: int = 8) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
     The next document is the one with the next smaller doc_id; rows of one doc_id go by text, a
@@ -129,7 +157,7 @@ def fingerprints_with_edits(docs: DataFrame, *, size: int = 16, one_in: int = 32
     cut_at = F.array(*(F.lit(c) for c in sorted(set(cuts)))).cast("array<bigint>")
     text = F.coalesce("text", F.lit(""))
     docs = docs.withColumn("bucket", F.size(F.filter(cut_at, lambda c: c < F.col("key"))))
-    dealt = docs.select("bucket", "doc_id", text.alias("text"), "key").repartition(n, "bucket").sortWithinPartitions(F.desc("bucket"), F.desc("key"), "text")
+    dealt = docs.select("bucket", "doc_id", text.alias("text"), "key").repartitionById(n, F.col("bucket")).sortWithinPartitions(F.desc("bucket"), F.desc("key"), "text")
     inner = dealt.select("bucket", "doc_id", "text").mapInArrow(_within(size, one_in), _OUT)
     # the first and the last document of each bucket: two ids a bucket, then their texts
     ends = docs.groupBy("bucket").agg(F.max("key").alias("top"), F.min("key").alias("low"))

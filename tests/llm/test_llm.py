@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import os
 import random
 from collections import Counter
@@ -164,10 +165,15 @@ def test_fingerprints(spark):
     for r, after in zip(order, [*order[1:], order[0]], strict=True):
         t, n = r.text or "", len(r.text or "")
         edited = t[: n - n // 3] + (after.text or "")[: n // 3]
-        own, changed = fingerprints.sketch(t), fingerprints.sketch(edited)
-        assert got[r.doc_id].fingerprint == fingerprints.as_text(own) and got[r.doc_id].edited_fingerprint == fingerprints.as_text(changed)
+        own, changed = fingerprints.fingerprint(t), fingerprints.fingerprint(edited)
+        assert got[r.doc_id].fingerprint == str(own) and got[r.doc_id].edited_fingerprint == str(changed)
+        assert got[r.doc_id].n_chars == n and got[r.doc_id].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[r.doc_id].near_edited == fingerprints.containment(own, changed)
-        assert got[r.doc_id].near_next == fingerprints.containment(own, fingerprints.sketch(after.text or ""))
+        assert got[r.doc_id].near_next == fingerprints.containment(own, fingerprints.fingerprint(after.text or ""))
+        for estimate, other in ((got[r.doc_id].near_edited, edited), (got[r.doc_id].near_next, after.text or "")):
+            a, b = ({x[i : i + 12] for i in range(max(len(x) - 11, 1))} if x else set() for x in (t, other))
+            exact = len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
+            assert abs(estimate - exact) <= (0 if max(len(a), len(b)) <= 64 else 0.3 if min(len(a), len(b)) > 64 else 1)
     assert got[3].fingerprint == got[len(texts)].fingerprint != ""
     assert fingerprints.fingerprints_with_edits(docs(spark, ["alone"])).count() == 1
     assert fingerprints.fingerprints_with_edits(docs(spark, texts).limit(0)).count() == 0
