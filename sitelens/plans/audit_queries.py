@@ -1,4 +1,9 @@
-"""Registered audit queries and their oracle SQL."""
+"""Registered audit queries and their oracle SQL.
+
+Queries of plain pages read the pages table as answers 200 of one audit a host; queries of a crawl
+replay one over captured answers made of the pages (sources.pages.captured_pages); three score a few
+stated findings. Oracles recompute the answers from the pages' page_id and text.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions.facts import parsed
-from sitelens.functions.robots import CRAWLERS, parse_robots, verdict
 from sitelens.functions.urls import normalized
-from sitelens.operators import page_checks, scoring
-from sitelens.sources.pages import decorated_pages, pages
+from sitelens.functions.robots import CRAWLERS
+from sitelens.operators import checks, scoring
+from sitelens.operators.views import Views, plain_views, views
+from sitelens.sources.captured import with_limits
+from sitelens.sources.pages import captured_pages, decorated_pages, pages
 
 _SITE = r"regexp_extract(url, '^https?://([^/:?]*)', 1)"
 _TITLE = r"trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '\s+', ' ', 'g'))"
@@ -18,19 +25,44 @@ _ISSUES = """(VALUES ('a','metadata','missing-title','high',0.98,0.25),('a','met
  ('b','images','image-missing-alt','medium',0.97,0.125),('b','structure','missing-h1','medium',0.95,0.75)) AS t(audit_id, category, rule_id, severity, confidence, prevalence)"""
 _WEIGHTS = "(VALUES ('technical',25),('metadata',20),('structure',15),('links',20),('images',10),('structured_data',10)) AS w(category, max_points)"
 _SEVERITIES = "(VALUES ('critical',1.0),('high',0.75),('medium',0.4),('low',0.15),('info',0.0)) AS s(severity, weight)"
-_ROBOTS = "User-agent: *\nDisallow: /private/\nAllow: /private/open\n\nUser-agent: GPTBot\nUser-agent: CCBot\nDisallow: /\n"
-_PATHS = ["/", "/private/x", "/private/open/y", "/public"]
 _ANSWERS = "(VALUES ('a',404,NULL),('b',200,NULL),('c',503,NULL),('d',403,NULL),('e',NULL,'timeout'),('f',NULL,'redirect-loop'),('g',418,NULL),('h',410,NULL)) AS t(url, status, error)"
 
 
-def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page_checks.audited(parsed(decorated_pages(spark, sf_dir)))
+_URL = r"""(regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&'), ''), ''))"""
+#: Pages, the first of each address.
+_ONCE = f"(SELECT *, {_URL} AS page_url, {_SITE} AS audit_id FROM pages QUALIFY row_number() OVER (PARTITION BY {_URL} ORDER BY page_id) = 1)"
+_HTTPS = f"regexp_replace({_URL}, '^http:', 'https:')"
+#: The captured pages: p says how they answer, linked whether the home page links to them, listed whether the sitemap does.
+_CAPTURED = f"""(SELECT page_id, {_HTTPS} AS page_url, {_SITE} AS audit_id, page_id % 13 AS p, page_id % 5 <> 4 AS linked, page_id % 3 <> 0 OR page_id % 5 = 4 AS listed
+  FROM pages WHERE {_HTTPS} <> 'https://' || {_SITE} || '/' QUALIFY row_number() OVER (PARTITION BY {_HTTPS} ORDER BY page_id) = 1)"""
+#: Replayed crawls by session and folder, while their tables are there.
+_crawls: dict[tuple[str, str], Views] = {}
+
+
+def _plain(spark: SparkSession, sf_dir: str, decorated: bool = False) -> Views:
+    return plain_views(parsed((decorated_pages if decorated else pages)(spark, sf_dir)))
+
+
+def _crawl(spark: SparkSession, sf_dir: str) -> Views:
+    """The crawl replayed over captured_pages(), once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key in _crawls:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_crawls[key].pages.inputFiles()[0])
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return _crawls[key]
+    answers = captured_pages(spark, sf_dir)
+    audits = answers.select("audit_id").distinct().withColumn("start_url", F.concat(F.lit("https://"), "audit_id", F.lit("/")))
+    _crawls[key] = views(with_limits(audits, max_pages=1_000_000, max_link_checks=1_000_000), answers)
+    return _crawls[key]
+
+
+#: The checks that fire on plain pages.
+_ON_PLAIN = ["missing-title", "empty-title", "short-title", "long-title", "missing-h1", "missing-meta-description", "missing-canonical"]
 
 
 def issues_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the page rules: how many pages each fires on."""
-    found = page_checks.page_issues(page_checks.audited(parsed(pages(spark, sf_dir))))
-    return found.groupBy("rule_id", "category", "severity").agg(F.count("*").alias("pages"))
+    """Findings of the page checks: how many pages each fires on."""
+    return checks.single_page(_plain(spark, sf_dir)).groupBy("rule_id", "category", "severity").agg(F.count("*").alias("pages"))
 
 
 def page_titles(spark, sf_dir):
@@ -44,21 +76,22 @@ def heading_and_link_counts(spark, sf_dir):
 
 def _rule(*ids):
     def query(spark, sf_dir):
-        return page_checks.page_issues(_audited(spark, sf_dir)).where(F.col("rule_id").isin(*ids)).select("page_id", "rule_id")
+        return checks.single_page(_plain(spark, sf_dir, True), ids).select(F.col("seq").alias("page_id"), "rule_id")
 
     return query
 
 
 def duplicate_titles(spark, sf_dir):
-    return page_checks.duplicates(page_checks.audited(parsed(pages(spark, sf_dir))), "titles").select("audit_id", "value", "n")
+    return checks.duplicates(_plain(spark, sf_dir), "titles", "title_folded").select("audit_id", "value", F.size("pages").cast("long").alias("n"))
 
 
 def inlink_degree(spark, sf_dir):
-    return page_checks.inlinks(page_checks.audited(parsed(pages(spark, sf_dir))))
+    """In-degree of every address that pages of its host link to."""
+    return _plain(spark, sf_dir).inlinks.groupBy("audit_id", F.regexp_replace("url", "(%[0-9A-F]{2})+", "~").alias("url")).agg(F.count_distinct("source").alias("sources"))
 
 
 def json_ld_types(spark, sf_dir):
-    return page_checks.type_inventory(_audited(spark, sf_dir))
+    return checks.type_inventory(_plain(spark, sf_dir, True))
 
 
 def url_normalize(spark, sf_dir):
@@ -79,9 +112,10 @@ def overall_score(spark, sf_dir):
 
 
 def _site_findings(spark, sf_dir):
-    """Findings with prevalence, and the audits, of all pages."""
-    rows = page_checks.audited(parsed(pages(spark, sf_dir)))
-    return scoring.site_findings(page_checks.page_issues(rows), rows), rows
+    """Findings of plain pages with prevalence, and the audits."""
+    v = _plain(spark, sf_dir)
+    found = checks.single_page(v, _ON_PLAIN)
+    return scoring.with_prevalence(found, v.audited.groupBy("audit_id").agg(F.count("*").alias("pages"))), v.audits
 
 
 def site_rule_penalties(spark, sf_dir):
@@ -89,7 +123,8 @@ def site_rule_penalties(spark, sf_dir):
 
 
 def site_category_scores(spark, sf_dir):
-    return scoring.category_scores(*_site_findings(spark, sf_dir))
+    found, audits = _site_findings(spark, sf_dir)
+    return scoring.category_scores(found, audits.select("audit_id"))
 
 
 def site_overall_score(spark, sf_dir):
@@ -97,18 +132,50 @@ def site_overall_score(spark, sf_dir):
 
 
 def link_verdicts(spark, sf_dir):
-    return spark.sql(f"SELECT url, status, error FROM {_ANSWERS}").select("url", scoring.link_verdict(F.col("status"), F.col("error")).alias("v")).select("url", "v.broken", "v.severity", F.col("v.confidence").cast("double").alias("confidence"))
+    return spark.sql(f"SELECT url, status, error FROM {_ANSWERS}").select("url", checks.link_verdict(F.col("status"), F.col("error")).alias("v")).select("url", "v.broken", "v.severity", F.col("v.confidence").cast("double").alias("confidence"))
+
+
+def issue_summary(spark, sf_dir):
+    """Findings by severity over all pages, those without any too."""
+    v = _plain(spark, sf_dir, True)
+    found = checks.single_page(v, ["image-missing-alt", "heading-level-skip", "invalid-json-ld", "generic-anchor-text", "missing-h1"])
+    return scoring.summary(found, v.audits).where("kind = 'severity'").groupBy(F.col("name").alias("severity")).agg(F.sum("issues").alias("issues"))
+
+
+def crawl_pages(spark, sf_dir):
+    """How the replayed crawl met each captured page."""
+    own = captured_pages(spark, sf_dir).where("url not like '%/robots.txt' and url not like '%/sitemap.xml' and not url rlike '/(moved|hop|end|loop)-[0-9]+$'").select("audit_id", F.col("url").alias("requested_url"))
+    found = _crawl(spark, sf_dir).pages.select("audit_id", "requested_url", F.coalesce("status_code", F.lit(0)).alias("status_code"), "via", "depth", F.when(F.col("error_kind") == "redirect-loop", -1).otherwise(F.size("redirect_chain")).alias("hops"), F.col("has_content").alias("content"))
+    return found.join(own, ["audit_id", "requested_url"], "left_semi")
+
+
+def _affected(analyzer, *ids):
+    """(audit_id, rule_id, pages): how many pages or link targets each issue of the rules concerns, summed."""
+
+    def query(spark, sf_dir):
+        found = getattr(checks, analyzer)(_crawl(spark, sf_dir)).where(F.col("rule_id").isin(*ids))
+        return found.groupBy("audit_id", "rule_id").agg(F.sum(F.greatest(F.size("affected_urls"), F.lit(1))).alias("pages"))
+
+    return query
+
+
+def broken_links(spark, sf_dir):
+    """Broken and redirecting targets of links by audit, rule, severity and confidence."""
+    found = checks.links(_crawl(spark, sf_dir)).where(F.col("rule_id").isin("broken-internal-link", "internal-link-redirect"))
+    return found.groupBy("audit_id", "rule_id", "severity", "confidence").agg(F.count("*").alias("targets"))
+
+
+def link_coverage(spark, sf_dir):
+    return _crawl(spark, sf_dir).link_coverage.select("audit_id", "internal_checked", "not_applicable", "external")
 
 
 def crawler_access(spark, sf_dir):
-    groups, _ = parse_robots(_ROBOTS)
-    return spark.createDataFrame([(t, p, verdict(groups, t, p)) for t, _, _ in CRAWLERS for p in _PATHS], "agent string, path string, allowed boolean")
+    return checks.crawler_access(_crawl(spark, sf_dir)).select("audit_id", "crawler", "root_allowed", "start_allowed", "rule_group", "explicit_group")
 
 
-def issue_summary(spark, sf_dir):
-    found = page_checks.page_issues(_audited(spark, sf_dir)).groupBy("severity").agg(F.count("*").alias("found"))
-    kinds = spark.createDataFrame([(s,) for s in scoring.SEVERITY_WEIGHTS], "severity string")
-    return kinds.join(found, "severity", "left").select("severity", (F.coalesce("found", F.lit(0)) > 0).alias("any"))
+def robots_findings(spark, sf_dir):
+    found = checks.robots_rules(_crawl(spark, sf_dir))
+    return found.groupBy("rule_id", "severity").agg(F.count("*").alias("audits"))
 
 
 _PARTS = f"SELECT audit_id, t.category, rule_id, least(1.0, sum(weight::DOUBLE * confidence::DOUBLE * prevalence::DOUBLE)) AS penalty FROM {_ISSUES} JOIN {_SEVERITIES} ON s.severity = t.severity GROUP BY ALL HAVING penalty > 0"
@@ -118,7 +185,7 @@ _POINTS = f"""SELECT a.audit_id, w.category, max_points, round_even(max_points *
 
 _FIRED = f"""(SELECT {_SITE} AS audit_id, category, rule_id, severity, confidence, CASE rule_id WHEN 'short-title' THEN length({_TITLE}) BETWEEN 1 AND 9 WHEN 'long-title' THEN length({_TITLE}) > 70
     WHEN 'missing-title' THEN html NOT LIKE '%<title>%' WHEN 'empty-title' THEN html LIKE '%<title>%' AND {_TITLE} = '' WHEN 'missing-h1' THEN html NOT LIKE '%<h1%' WHEN 'missing-meta-description' THEN html NOT LIKE '%name="description"%' ELSE html NOT LIKE '%rel="canonical"%' END AS fires
-  FROM pages, (VALUES ('metadata','missing-title','high',0.98),('metadata','empty-title','high',0.98),('metadata','short-title','low',0.6),('metadata','long-title','low',0.6),('structure','missing-h1','medium',0.95),
+  FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY {_URL} ORDER BY page_id) = 1) AS pages, (VALUES ('metadata','missing-title','high',0.98),('metadata','empty-title','high',0.98),('metadata','short-title','low',0.6),('metadata','long-title','low',0.6),('structure','missing-h1','medium',0.95),
     ('metadata','missing-meta-description','low',0.95),('metadata','missing-canonical','low',0.98)) AS r(category, rule_id, severity, confidence))"""
 _SITE_PARTS = f"SELECT audit_id, category, rule_id, least(1.0, any_value(weight::DOUBLE * confidence::DOUBLE) * avg(fires::INT)) AS penalty FROM {_FIRED} f JOIN {_SEVERITIES} ON s.severity = f.severity GROUP BY ALL HAVING penalty > 0"
 _SITE_POINTS = f"""SELECT a.audit_id, w.category, max_points, round_even(max_points * (1 - least(1.0::DOUBLE, coalesce(lost, 0))), 1)::DOUBLE AS points
@@ -127,31 +194,40 @@ _SITE_POINTS = f"""SELECT a.audit_id, w.category, max_points, round_even(max_poi
 
 
 def _when(rule: str, condition: str) -> str:
-    return f"SELECT page_id, '{rule}' AS rule_id FROM pages WHERE {condition}"
+    return f"SELECT page_id, '{rule}' AS rule_id FROM {_ONCE} WHERE {condition}"
 
 
 def _union(*parts: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+def _rows(rule: str, condition: str, more: str = "") -> str:
+    """Pages of the captured table by audit under which a rule is met."""
+    return f"SELECT audit_id, '{rule}' AS rule_id, count(*){more} AS pages FROM {_CAPTURED} WHERE {condition} GROUP BY audit_id"
+
+
+_FIELDS = {"missing-meta-description": ("metadata", "low"), "missing-canonical": ("metadata", "low"), "short-title": ("metadata", "low"), "long-title": ("metadata", "low"), "insecure-internal-link": ("links", "low"), "generic-anchor-text": ("links", "info")}
+_FIRES = {"missing-meta-description": "true", "missing-canonical": "true", "short-title": f"length({_TITLE}) BETWEEN 1 AND 9", "long-title": f"length({_TITLE}) > 70", "insecure-internal-link": "url LIKE 'http://%'",
+  "generic-anchor-text": "len(list_filter(regexp_extract_all(html, '<a href=\"[^\"]*\">([^<]*)</a>', 1), lambda x: lower(trim(x)) IN (" + ",".join(f"'{x}'" for x in checks.GENERIC_ANCHORS) + "))) > 0"}
+
 #: name -> (query, oracle SQL)
 _TABLE = {
-    "issues_by_rule": (issues_by_rule, None),
+    "issues_by_rule": (issues_by_rule, _union(*(f"SELECT '{r}' AS rule_id, '{c}' AS category, '{s}' AS severity, count(*) AS pages FROM {_ONCE} WHERE {_FIRES[r]} HAVING count(*) > 0" for r, (c, s) in _FIELDS.items()))),
     "page_titles": (page_titles, f"SELECT page_id, {_TITLE} AS title, length({_TITLE})::INT AS n_chars FROM pages"),
     "heading_and_link_counts": (heading_and_link_counts, r"SELECT page_id, len(regexp_extract_all(html, '<h1>'))::INT AS n_h1, len(regexp_extract_all(html, '<a href='))::INT AS n_links, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang FROM pages"),
     "title_lengths": (_rule("short-title", "long-title"), _union(_when("short-title", f"length({_TITLE}) BETWEEN 1 AND 9"), _when("long-title", f"length({_TITLE}) > 70"))),
     "missing_descriptions": (_rule("missing-meta-description"), _when("missing-meta-description", "page_id % 3 <> 0")),
     "canonical_rules": (_rule("missing-canonical", "canonical-cross-host", "canonicalized-to-other-url", "canonical-noindex-conflict"), _union(_when("missing-canonical", "page_id % 4 > 1 AND page_id % 7 <> 0"), _when("canonical-cross-host", "page_id % 4 = 1"), _when("canonicalized-to-other-url", "page_id % 4 = 0"), _when("canonical-noindex-conflict", "page_id % 4 < 2 AND page_id % 7 = 0"))),
-    "noindex_pages": (_rule("noindex-page"), _when("noindex-page", "page_id % 7 = 0")),
+    "noindex_pages": (_rule("noindex-page"), _when("noindex-page", "page_id % 7 = 0 AND page_url <> 'https://' || audit_id || '/'")),
     "heading_skips": (_rule("heading-level-skip", "missing-h1"), _when("heading-level-skip", "page_id % 6 = 0")),
     "image_rules": (_rule("image-missing-alt", "image-empty-alt", "image-missing-dimensions"), _union(_when("image-missing-alt", "page_id % 2 = 0"), _when("image-empty-alt", "page_id % 2 = 1"), _when("image-missing-dimensions", "page_id % 2 = 1"))),
-    "anchor_rules": (_rule("generic-anchor-text"), _when("generic-anchor-text", "page_id % 9 = 0")),
+    "anchor_rules": (_rule("generic-anchor-text"), _when("generic-anchor-text", f"page_id % 9 = 0 OR {_FIRES['generic-anchor-text']}")),
     "invalid_json_ld": (_rule("invalid-json-ld"), _when("invalid-json-ld", "page_id % 5 = 1")),
-    "json_ld_types": (json_ld_types, f"SELECT {_SITE} AS audit_id, 'Article' AS type, count(*) AS pages FROM pages WHERE page_id % 5 = 0 GROUP BY ALL"),
-    "duplicate_titles": (duplicate_titles, f"SELECT {_SITE} AS audit_id, lower({_TITLE}) AS value, count(*) AS n FROM pages WHERE {_TITLE} <> '' GROUP BY ALL HAVING count(*) > 1"),
-    "inlink_degree": (inlink_degree, rf"""SELECT audit_id, href, count(DISTINCT u) AS sources FROM (SELECT {_SITE} AS audit_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&'), ''), '') AS u,
-  unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) WHERE starts_with(href, '/') GROUP BY ALL"""),
-    "url_normalize": (url_normalize, r"""SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&'), ''), '') AS page_url FROM pages"""),
+    "json_ld_types": (json_ld_types, f"SELECT audit_id, 'Article' AS type, count(*) AS pages FROM {_ONCE} WHERE page_id % 5 = 0 GROUP BY ALL"),
+    "duplicate_titles": (duplicate_titles, f"SELECT audit_id, lower({_TITLE}) AS value, count(*) AS n FROM {_ONCE} WHERE {_TITLE} <> '' GROUP BY ALL HAVING count(*) > 1"),
+    "inlink_degree": (inlink_degree, rf"""SELECT audit_id, regexp_replace(regexp_extract(page_url, '^https?://[^/]*', 0) || href, '[^\x00-\x7F]+', '~', 'g') AS url, count(DISTINCT page_url) AS sources
+  FROM (SELECT audit_id, page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM {_ONCE}) GROUP BY ALL"""),
+    "url_normalize": (url_normalize, f"SELECT page_id, {_URL} AS page_url FROM pages"),
     "rule_penalties": (rule_penalties, f"SELECT audit_id, category, rule_id, round(penalty, 6)::DOUBLE AS penalty FROM ({_PARTS})"),
     "category_scores": (category_scores, _POINTS),
     "overall_score": (overall_score, f"SELECT audit_id, round_even(100 * sum(points) / sum(max_points), 0)::INT AS score FROM ({_POINTS}) GROUP BY audit_id"),
@@ -160,9 +236,22 @@ _TABLE = {
     "site_overall_score": (site_overall_score, f"SELECT audit_id, round_even(100 * sum(points) / sum(max_points), 0)::INT AS score FROM ({_SITE_POINTS}) GROUP BY audit_id"),
     "link_verdicts": (link_verdicts, f"""SELECT url, CASE WHEN error = 'redirect-loop' THEN true WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN false WHEN status >= 400 THEN true END AS broken,
   CASE WHEN error = 'redirect-loop' THEN 'medium' WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 'info' WHEN status IN (404, 410) THEN 'high' WHEN status >= 400 THEN 'medium' END AS severity,
-  (CASE WHEN error = 'redirect-loop' THEN 0.85 WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 0.6 WHEN status IN (404, 410) THEN 0.95 WHEN status >= 500 THEN 0.6 WHEN status >= 400 THEN 0.8 END)::DOUBLE AS confidence FROM {_ANSWERS}"""),
-    "crawler_access": (crawler_access, "SELECT agent, path, CASE WHEN agent IN ('GPTBot', 'CCBot') THEN false ELSE NOT starts_with(path, '/private/') OR starts_with(path, '/private/open') END AS allowed FROM (VALUES " + ",".join(f"('{t}')" for t, _, _ in CRAWLERS) + ") AS a(agent), (VALUES " + ",".join(f"('{p}')" for p in _PATHS) + ") AS p(path)"),
-    "issue_summary": (issue_summary, "SELECT severity, severity <> 'critical' AND severity <> 'high' AS any FROM (VALUES ('critical'),('high'),('medium'),('low'),('info')) AS s(severity)"),
+  (CASE WHEN error = 'redirect-loop' THEN 0.85 WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 0.5 WHEN status IN (404, 410) THEN 0.95 WHEN status >= 500 THEN 0.6 WHEN status >= 400 THEN 0.8 END)::DOUBLE AS confidence FROM {_ANSWERS}"""),
+    "issue_summary": (issue_summary, f"""SELECT severity, (CASE severity WHEN 'medium' THEN count_if(page_id % 2 = 0) + count_if(page_id % 5 = 1) WHEN 'low' THEN count_if(page_id % 6 = 0) WHEN 'info' THEN count_if(page_id % 9 = 0 OR {_FIRES['generic-anchor-text']}) ELSE 0 END)::BIGINT AS issues
+  FROM {_ONCE}, (VALUES ('critical'),('high'),('medium'),('low'),('info')) AS s(severity) GROUP BY severity"""),
+    "crawl_pages": (crawl_pages, f"""SELECT audit_id, page_url AS requested_url, (CASE p WHEN 1 THEN 404 WHEN 3 THEN 500 WHEN 4 THEN 403 WHEN 6 THEN 0 ELSE 200 END)::INT AS status_code, CASE WHEN linked THEN 'link' ELSE 'sitemap' END AS via, 1 AS depth,
+  (CASE p WHEN 2 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN -1 ELSE 0 END)::INT AS hops, p NOT IN (1, 3, 4, 6) AS content FROM {_CAPTURED}
+  UNION ALL SELECT DISTINCT audit_id, 'https://' || audit_id || '/', 200, 'start', 0, 0, true FROM {_CAPTURED}"""),
+    "redirect_chains": (_affected("technical", "redirect-chain"), _rows("redirect-chain", "p = 5 OR p = 6")),
+    "crawled_page_errors": (_affected("technical", "crawled-page-error"), _rows("crawled-page-error", "p IN (1, 3) AND linked")),
+    "sitemap_vs_crawl": (_affected("sitemap_rules", "sitemap-url-error", "sitemap-url-redirects", "sitemap-url-noindex"), _union(_rows("sitemap-url-error", "p IN (1, 3, 4, 6) AND listed"), _rows("sitemap-url-redirects", "p IN (2, 5) AND listed"), _rows("sitemap-url-noindex", "p NOT IN (1, 3, 4, 6) AND listed AND page_id % 7 = 0"))),
+    "page_not_in_sitemap": (_affected("sitemap_rules", "page-not-in-sitemap"), f"SELECT audit_id, 'page-not-in-sitemap' AS rule_id, (1 + count_if(p NOT IN (1, 3, 4, 6) AND NOT listed AND page_id % 7 <> 0 AND page_id % 4 > 1))::BIGINT AS pages FROM {_CAPTURED} GROUP BY audit_id HAVING bool_or(listed)"),
+    "orphans": (_affected("links", "potential-orphan-page"), _rows("potential-orphan-page", "p NOT IN (1, 3, 4, 6) AND NOT linked")),
+    "broken_links": (broken_links, f"""SELECT audit_id, CASE WHEN p IN (2, 5) THEN 'internal-link-redirect' ELSE 'broken-internal-link' END AS rule_id, CASE p WHEN 1 THEN 'high' WHEN 3 THEN 'medium' WHEN 6 THEN 'medium' ELSE 'low' END AS severity,
+  (CASE p WHEN 1 THEN 0.95 WHEN 3 THEN 0.6 WHEN 6 THEN 0.85 ELSE 0.9 END)::DOUBLE AS confidence, count(*) AS targets FROM {_CAPTURED} WHERE linked AND p IN (1, 2, 3, 5, 6) GROUP BY ALL"""),
+    "link_coverage": (link_coverage, f"SELECT audit_id, count_if(linked AND p <> 4)::BIGINT AS internal_checked, 1::BIGINT AS not_applicable, 0::BIGINT AS \"external\" FROM {_CAPTURED} GROUP BY audit_id"),
+    "crawler_access": (crawler_access, f"SELECT DISTINCT audit_id, agent AS crawler, agent <> 'GPTBot' AS root_allowed, agent <> 'GPTBot' AS start_allowed, CASE WHEN agent = 'GPTBot' THEN 'gptbot' ELSE '*' END AS rule_group, agent = 'GPTBot' AS explicit_group FROM {_CAPTURED}, (VALUES " + ",".join(f"('{t}')" for t, _, _ in CRAWLERS) + ") AS a(agent)"),
+    "robots_findings": (robots_findings, _union(*(f"SELECT '{r}' AS rule_id, 'info' AS severity, count(DISTINCT audit_id) AS audits FROM {_CAPTURED}" for r in ("robots-ai-crawler-blocked", "linked-url-disallowed")))),
 }
 QUERIES = {name: query for name, (query, _) in _TABLE.items()}
 ORACLES = {name: sql for name, (_, sql) in _TABLE.items() if sql}
