@@ -1,8 +1,7 @@
 """Registered audit queries and their oracle SQL.
 
 Queries of plain pages read the pages table as answers 200 of one audit a host; queries of a crawl
-replay one over captured answers made of the pages (sources.pages.captured_pages); three score a few
-stated findings. Oracles recompute the answers from the pages' page_id and text.
+replay one over captured answers made of the pages (sources.pages.captured_pages). Oracles recompute the answers from the pages' page_id and text.
 """
 
 from __future__ import annotations
@@ -20,12 +19,8 @@ from sitelens.sources.pages import captured_pages, decorated_pages, pages
 
 _SITE = r"regexp_extract(url, '^https?://([^/:?]*)', 1)"
 _TITLE = r"trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '\s+', ' ', 'g'))"
-_ISSUES = """(VALUES ('a','metadata','missing-title','high',0.98,0.25),('a','metadata','short-title','low',0.6,0.5),('a','technical','mixed-content','medium',0.95,1.0),
- ('a','technical','mixed-content','medium',0.95,1.0),('a','technical','mixed-content','medium',0.95,1.0),('a','links','internal-nofollow','info',0.95,1.0),
- ('b','images','image-missing-alt','medium',0.97,0.125),('b','structure','missing-h1','medium',0.95,0.75)) AS t(audit_id, category, rule_id, severity, confidence, prevalence)"""
 _WEIGHTS = "(VALUES ('technical',25),('metadata',20),('structure',15),('links',20),('images',10),('structured_data',10)) AS w(category, max_points)"
 _SEVERITIES = "(VALUES ('critical',1.0),('high',0.75),('medium',0.4),('low',0.15),('info',0.0)) AS s(severity, weight)"
-_ANSWERS = "(VALUES ('a',404,NULL),('b',200,NULL),('c',503,NULL),('d',403,NULL),('e',NULL,'timeout'),('f',NULL,'redirect-loop'),('g',418,NULL),('h',410,NULL)) AS t(url, status, error)"
 
 
 _URL = r"""(regexp_replace(regexp_replace(url, '#.*$', ''), '[?].*$', '') || coalesce('?' || nullif(array_to_string(list_filter(string_split(regexp_extract(url, '[?]([^#]*)', 1), '&'), lambda p: p <> '' AND NOT starts_with(p, 'utm_')), '&'), ''), ''))"""
@@ -98,19 +93,6 @@ def url_normalize(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", normalized("url").alias("page_url"))
 
 
-def rule_penalties(spark, sf_dir):
-    return scoring.rule_penalties(spark.sql(f"SELECT audit_id, category, rule_id, severity, double(confidence) confidence, double(prevalence) prevalence FROM {_ISSUES}")).withColumn("penalty", F.round("penalty", 6))
-
-
-def category_scores(spark, sf_dir):
-    issues = spark.sql(f"SELECT audit_id, category, rule_id, severity, double(confidence) confidence, double(prevalence) prevalence FROM {_ISSUES}")
-    return scoring.category_scores(issues, issues)
-
-
-def overall_score(spark, sf_dir):
-    return scoring.overall(category_scores(spark, sf_dir))
-
-
 def _site_findings(spark, sf_dir):
     """Findings of plain pages with prevalence, and the audits."""
     v = _plain(spark, sf_dir)
@@ -131,10 +113,6 @@ def site_overall_score(spark, sf_dir):
     return scoring.overall(site_category_scores(spark, sf_dir))
 
 
-def link_verdicts(spark, sf_dir):
-    return spark.sql(f"SELECT url, status, error FROM {_ANSWERS}").select("url", checks.link_verdict(F.col("status"), F.col("error")).alias("v")).select("url", "v.broken", "v.severity", F.col("v.confidence").cast("double").alias("confidence"))
-
-
 def issue_summary(spark, sf_dir):
     """Findings by severity over all pages, those without any too."""
     v = _plain(spark, sf_dir, True)
@@ -178,11 +156,6 @@ def robots_findings(spark, sf_dir):
     return found.groupBy("rule_id", "severity").agg(F.count("*").alias("audits"))
 
 
-_PARTS = f"SELECT audit_id, t.category, rule_id, least(1.0, sum(weight::DOUBLE * confidence::DOUBLE * prevalence::DOUBLE)) AS penalty FROM {_ISSUES} JOIN {_SEVERITIES} ON s.severity = t.severity GROUP BY ALL HAVING penalty > 0"
-_POINTS = f"""SELECT a.audit_id, w.category, max_points, round_even(max_points * (1 - least(1.0::DOUBLE, coalesce(lost, 0))), 1)::DOUBLE AS points
-  FROM (SELECT DISTINCT audit_id FROM {_ISSUES}) a CROSS JOIN {_WEIGHTS}
-  LEFT JOIN (SELECT audit_id, category, sum(round_even(penalty, 4)) AS lost FROM ({_PARTS}) GROUP BY ALL) l ON l.audit_id = a.audit_id AND l.category = w.category"""
-
 _FIRED = f"""(SELECT {_SITE} AS audit_id, category, rule_id, severity, confidence, CASE rule_id WHEN 'short-title' THEN length({_TITLE}) BETWEEN 1 AND 9 WHEN 'long-title' THEN length({_TITLE}) > 70
     WHEN 'missing-title' THEN html NOT LIKE '%<title>%' WHEN 'empty-title' THEN html LIKE '%<title>%' AND {_TITLE} = '' WHEN 'missing-h1' THEN html NOT LIKE '%<h1%' WHEN 'missing-meta-description' THEN html NOT LIKE '%name="description"%' ELSE html NOT LIKE '%rel="canonical"%' END AS fires
   FROM (SELECT * FROM pages QUALIFY row_number() OVER (PARTITION BY {_URL} ORDER BY page_id) = 1) AS pages, (VALUES ('metadata','missing-title','high',0.98),('metadata','empty-title','high',0.98),('metadata','short-title','low',0.6),('metadata','long-title','low',0.6),('structure','missing-h1','medium',0.95),
@@ -228,15 +201,9 @@ _TABLE = {
     "inlink_degree": (inlink_degree, rf"""SELECT audit_id, regexp_replace(regexp_extract(page_url, '^https?://[^/]*', 0) || href, '[^\x00-\x7F]+', '~', 'g') AS url, count(DISTINCT page_url) AS sources
   FROM (SELECT audit_id, page_url, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM {_ONCE}) GROUP BY ALL"""),
     "url_normalize": (url_normalize, f"SELECT page_id, {_URL} AS page_url FROM pages"),
-    "rule_penalties": (rule_penalties, f"SELECT audit_id, category, rule_id, round(penalty, 6)::DOUBLE AS penalty FROM ({_PARTS})"),
-    "category_scores": (category_scores, _POINTS),
-    "overall_score": (overall_score, f"SELECT audit_id, round_even(100 * sum(points) / sum(max_points), 0)::INT AS score FROM ({_POINTS}) GROUP BY audit_id"),
     "site_rule_penalties": (site_rule_penalties, f"SELECT audit_id, category, rule_id, round(penalty, 6)::DOUBLE AS penalty FROM ({_SITE_PARTS})"),
     "site_category_scores": (site_category_scores, _SITE_POINTS),
     "site_overall_score": (site_overall_score, f"SELECT audit_id, round_even(100 * sum(points) / sum(max_points), 0)::INT AS score FROM ({_SITE_POINTS}) GROUP BY audit_id"),
-    "link_verdicts": (link_verdicts, f"""SELECT url, CASE WHEN error = 'redirect-loop' THEN true WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN false WHEN status >= 400 THEN true END AS broken,
-  CASE WHEN error = 'redirect-loop' THEN 'medium' WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 'info' WHEN status IN (404, 410) THEN 'high' WHEN status >= 400 THEN 'medium' END AS severity,
-  (CASE WHEN error = 'redirect-loop' THEN 0.85 WHEN error IS NOT NULL OR status IN (401, 403, 429) THEN 0.5 WHEN status IN (404, 410) THEN 0.95 WHEN status >= 500 THEN 0.6 WHEN status >= 400 THEN 0.8 END)::DOUBLE AS confidence FROM {_ANSWERS}"""),
     "issue_summary": (issue_summary, f"""SELECT severity, (CASE severity WHEN 'medium' THEN count_if(page_id % 2 = 0) + count_if(page_id % 5 = 1) WHEN 'low' THEN count_if(page_id % 6 = 0) WHEN 'info' THEN count_if(page_id % 9 = 0 OR {_FIRES['generic-anchor-text']}) ELSE 0 END)::BIGINT AS issues
   FROM {_ONCE}, (VALUES ('critical'),('high'),('medium'),('low'),('info')) AS s(severity) GROUP BY severity"""),
     "crawl_pages": (crawl_pages, f"""SELECT audit_id, page_url AS requested_url, (CASE p WHEN 1 THEN 404 WHEN 3 THEN 500 WHEN 4 THEN 403 WHEN 6 THEN 0 ELSE 200 END)::INT AS status_code, CASE WHEN linked THEN 'link' ELSE 'sitemap' END AS via, 1 AS depth,

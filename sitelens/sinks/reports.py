@@ -13,6 +13,7 @@ from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelens import __version__
 from sitelens.audit import Report
 from sitelens.functions import http
 from sitelens.functions.urls import host_of
@@ -118,7 +119,7 @@ def assembled(row) -> dict:
     start = next((p for p in pages if a["start_url"] in (p["requested_url"], p["url"])), None)
     files = _items(a["sitemap_files"])
     return {
-        "schema_version": "1.0", "project": "sitelens", "generated_at": a["generated_at"],
+        "schema_version": "1.0", "project": "sitelens", "version": __version__, "generated_at": a["generated_at"],
         "target": {"url": a["start_url"], "normalized_url": a["start_url"], "final_url": start and start["url"]},
         "crawl": {
             "state": a["state"], "state_reasons": a["reasons"], "start_url": a["start_url"], "site_url": a["site_url"], "pages_crawled": len(pages), "pages_audited": sum(p["audited"] for p in pages),

@@ -158,9 +158,9 @@ def test_sample_site(spark, sample):
 
 def test_reports(spark, sample):
     report = reports.reports(sample, ["sample"], "2026-01-01T00:00:00+00:00")[0]
-    assert len(report) == 13 + 0 and report["score"]["overall"] == 82 and report["crawl"]["pages_audited"] == 7 and len(report["pages"]) == 10 and report["sitemap"]["url_count"] == 8
+    assert len(report) == 14 and report["score"]["overall"] == 82 and report["crawl"]["pages_audited"] == 7 and len(report["pages"]) == 10 and report["sitemap"]["url_count"] == 8
     assert json.loads(reports.to_json(report))["summary"]["issues_total"] == 32 and report["issues"][0]["severity"] == "high"
-    assert reports.to_markdown(report).count("\n## ") == 8 and "82/100" in reports.to_text(report)
+    assert reports.to_markdown(report).count("\n## ") == 8 and "82 (complete)" in reports.to_text(report)
     assert reports.plain("a\x00b‮c\n d", 6) == "abc  d" and reports.markdown("<a>|*b*") == "&lt;a&gt;\\|\\*b\\*" and reports.code("a`b") == "`a'b`"
 
 
@@ -178,13 +178,13 @@ def other_sites():
     rows += [answer("bing", at("bing"), body=ok), answer("bing", at("bing", "b"), 200, body=page("B", "<meta name=bingbot content=none>"), x_robots_tag="googlebot: noindex", link='<https://o.example/>; rel="canonical"'), answer("bing", at("bing", "robots.txt"), body="User-agent: Bingbot\nDisallow: /\n\nUser-agent: Googlebot\nDisallow: /b\n\nUser-agent: *\nCrawl-delay: 1", kind="text/plain")]
     rows += [answer("slow", at("slow"), body=ok), answer("slow", at("slow", "robots.txt"), body="User-agent: *\nCrawl-delay: 99", kind="text/plain")]
     shell = '<html><body><div id="root"></div><script src="http://cdn.example/app.js"></script></body></html>'
-    rows += [answer("shell", at("shell"), body=shell)]
+    rows += [answer("shell", at("shell"), body=shell), answer("shell", at("shell", "robots.txt"), 404)]
     rows += [answer("maps", at("maps"), body=ok), answer("maps", at("maps", "robots.txt"), body=f"Sitemap: {at('maps', 'i.xml')}\nSitemap: {at('maps', 'gone.xml')}\nSitemap: {at('maps', 'bad.xml')}\nSitemap: {at('maps', 'none.xml')}", kind="text/plain")]
     rows += [answer("maps", at("maps", "i.xml"), body=f"<sitemapindex><sitemap><loc>{at('maps', 'c.xml')}</loc></sitemap></sitemapindex>", kind="text/xml"), answer("maps", at("maps", "c.xml"), body="<urlset><url><loc>https://o.example/</loc></url></urlset>", kind="text/xml")]
     rows += [answer("maps", at("maps", "bad.xml"), body="<urlset>", kind="text/xml"), answer("maps", at("maps", "none.xml"), body="<urlset></urlset>", kind="text/xml")]
     rows += [answer("dead", at("dead"), None, error="refused", error_kind="connection"), answer("dead", at("dead", "robots.txt"), None, error="refused", error_kind="connection")]
     rows += [answer("off", at("off"), 301, location="https://elsewhere.example/"), answer("off", "https://elsewhere.example/", body=ok)]
-    rows += [answer("moved", at("moved"), 301, location="https://www.moved.example/"), answer("moved", "https://www.moved.example/", body=ok), answer("moved", "https://www.moved.example/b", body="x" * 6_000_000)]
+    rows += [answer("moved", at("moved"), 301, location="https://www.moved.example/"), answer("moved", "https://www.moved.example/", body=ok), answer("moved", "https://www.moved.example/b", body="x" * 6_000_000), answer("moved", at("moved", "robots.txt"), 404), answer("moved", "https://www.moved.example/robots.txt", 404)]
     return rows
 
 
