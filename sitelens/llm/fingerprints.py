@@ -27,23 +27,24 @@ SMALL = 64
 
 
 def shingles(text: str, size: int) -> np.ndarray:
-    """The sorted distinct 32-bit hashes of a text's shingles."""
+    """The 32-bit hashes of a text's shingles, in order, repeats kept."""
     x = np.frombuffer(text.encode("utf-32-le", "replace"), "<u4").astype(np.uint64) + np.uint64(1)
-    if not len(x):
+    width = min(size, len(x))
+    if not width:
         return x.astype(np.uint32)
+    # polynomial hashes of runs of 1, 2, 4 ... code points; those that make up the width are joined
+    run, w, power, left, h, done = x, 1, BASE, width, x[:0], 0
     with np.errstate(over="ignore"):
-        if len(x) < size or size & (size - 1):
-            width, h = min(size, len(x)), np.zeros(len(x) - min(size, len(x)) + 1, np.uint64)
-            for j in range(width):
-                h = h * BASE + x[j : j + len(h)]
-        else:
-            width, power = 1, BASE
-            h = x
-            while width < size:
-                h = h[:-width] * power + h[width:]
-                width, power = width * 2, power * power
+        while True:
+            if left & 1:
+                n = len(x) - done - w + 1
+                h, done = (h[:n] * power + run[done : done + n] if done else run), done + w
+            left >>= 1
+            if not left:
+                break
+            run, w, power = run[:-w] * power + run[w:], 2 * w, power * power
         h = mix(h ^ (np.full(1, width, np.uint64) * GOLDEN))
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
 class Fingerprint:
@@ -66,9 +67,11 @@ class Fingerprint:
 
 
 def fingerprint(text: str, size: int = 12, one_in: int = 8) -> Fingerprint:
-    found = shingles(text, size)
-    low = np.searchsorted(found, 2**32 // one_in)
-    return Fingerprint(found[:low], found[low:] if len(found) <= SMALL else None)
+    found, line = shingles(text, size), 2**32 // one_in
+    low = found < line
+    kept = np.unique(found[low])
+    rest = np.unique(found[~low]) if len(kept) <= SMALL else None
+    return Fingerprint(kept, rest if rest is not None and len(kept) + len(rest) <= SMALL else None)
 
 
 def containment(a: Fingerprint, b: Fingerprint) -> float:
