@@ -30,11 +30,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback_dir[0]
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage ends here and lost executors cost nothing."""
+def written(df: DataFrame, tag: str, *, tidy: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: lineage ends here and lost executors cost nothing. tidy: the shuffle files behind it go at once, not when the driver next collects garbage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sitelens/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, None) if tidy else None
+    if before is not None:
+        spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

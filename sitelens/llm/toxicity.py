@@ -15,13 +15,17 @@ calibration, fitted on a fold of labelled rows that gave no counts, turns them i
 
 from __future__ import annotations
 
+import functools
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, crc_fold, documents, dropped, mix, pick, text_bytes, text_pieces, written
-from .learn import fit_logistic, labelled_sample
+from .common import GOLDEN, WordHashes, crc_fold, documents, dropped, mix, pick, small_enough, text_bytes, text_pieces, written
+from .learn import fit_logistic_table, labelled_ids
 
 #: What stands before the first word of a text.
 START = np.uint64(1)
@@ -30,6 +34,12 @@ FEATURES = 2
 BANDS = 16
 #: Sums of fractions are sums of this many parts of one, so that their order changes nothing.
 PARTS = 2**32
+#: A token's evidence is a multiple of one part of these, so that sums are the same in any order.
+GRID = 2.0**24
+#: Rows of the models that the driver holds at once.
+PART_ROWS = 1_000_000
+#: Words whose table is broadcast, and the parts, by context, in which pairs are joined with larger ones.
+FEW_WORDS, SLICES = 200_000, 4
 _TOKEN = rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
@@ -116,12 +126,16 @@ def without_copies(rows: DataFrame, percent: int = 80) -> DataFrame:
     id have that Jaccard, in full. Candidates are the first rows of the bands it is in.
     """
     rows = rows.select("text", "y").mapInArrow(_normal, "id bigint, text string, y int, bands array<bigint>")
-    rows = written(rows.dropDuplicates(["id"]), "counted")
+    rows = written(rows.dropDuplicates(["id"]), "counted", tidy=True)
     bands = rows.select("id", F.explode("bands").alias("band"))
-    pairs = bands.join(bands.groupBy("band").agg(F.min("id").alias("to")), "band").where("to < id").select("id", "to").distinct()
-    both = pairs.join(rows.select("id", "text"), "id").join(rows.select(F.col("id").alias("to"), F.col("text").alias("to_text")), "to")
-    copies = both.select("id", "text", "to_text").mapInArrow(_near(percent), "id bigint").distinct()
-    return rows.join(copies, "id", "left_anti").select("text", "y")
+    pairs = written(bands.join(bands.groupBy("band").agg(F.min("id").alias("to")), "band").where("to < id").select("id", "to").distinct(), "candidates", tidy=True)
+    # only texts of candidates are dealt out
+    wanted = written(pairs.select("to").distinct(), "wanted")
+    first = rows.select(F.col("id").alias("to"), F.col("text").alias("to_text")).join(small_enough(wanted), "to", "left_semi")
+    both = rows.select("id", "text").join(small_enough(pairs), "id").join(first, "to")
+    copies = written(both.select("id", "text", "to_text").mapInArrow(_near(percent), "id bigint").distinct(), "copies", tidy=True)
+    dropped(pairs, wanted)
+    return rows.join(small_enough(copies), "id", "left_anti").select("text", "y")
 
 
 def discounts(counts: list[int]) -> list[float]:
@@ -152,9 +166,10 @@ def class_models(counted: DataFrame, shared: float = 4.0, shared_pairs: float =
     a word that no training text holds.
     """
     both = ("n0", "n1")
-    pairs = written(counted.groupBy("key").agg(F.min("before").alias("before"), F.min("word").alias("word"), *(F.sum(c).alias(c) for c in both)), "pairs")
+    # a pair's key follows from its words, so that only these are dealt out and kept
+    pairs = written(counted.groupBy("before", "word").agg(*(F.sum(c).cast("int").alias(c) for c in both)), "pairs", tidy=True)
     # continuation counts: after how many words a word stands, in each class and at all
-    counts = written(pairs.groupBy("word").agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"), F.count("*").alias("n")), "words")
+    counts = written(pairs.groupBy("word").agg(F.count_if(F.col("n0") > 0).alias("n0"), F.count_if(F.col("n1") > 0).alias("n1"), F.count("*").alias("n")), "words", tidy=True)
     n = F.col("n0") + F.col("n1")
     lost, left = _discounted(counts, n, [F.col(c) for c in both])
     lost_n, left_n = _discounted(counts, F.col("n"), [F.col("n")])
@@ -165,7 +180,7 @@ def class_models(counted: DataFrame, shared: float = 4.0, shared_pairs: float =
     rare = (sums["freed2"] or 0.0) / max(sums["n"] or 0.0, 1.0) / (known + 1)
     scale = [max(total[c] + shared * size[c] * known, 1e-9) for c in (0, 1)]
     lower = left_n[0] / max(sums["n"] or 0.0, 1.0) + rare
-    words = counts.select("word", *(((left[c] + shared * size[c] + freed[c] * lower) / scale[c]).alias(f"p{c}") for c in (0, 1)))
+    words = written(counts.select("word", *(((left[c] + shared * size[c] + freed[c] * lower) / scale[c]).alias(f"p{c}") for c in (0, 1))), "words")
     unknown = [max(freed[c] * rare / scale[c], 1e-300) for c in (0, 1)]
 
     lost, left = _discounted(pairs, n, [F.col(c) for c in both])
@@ -174,54 +189,79 @@ def class_models(counted: DataFrame, shared: float = 4.0, shared_pairs: float =
     contexts = pairs.groupBy("before").agg(*(F.sum(c).alias(f"c{i}") for i, c in enumerate(both)), *(_parts(x).alias(f"f{i}") for i, x in enumerate(lost)))
     portion = lambda c: (F.col(f"c{c}") + shared * size[c]) / (F.col("c0") + F.col("c1") + shared)
     contexts = contexts.select("before", *(portion(c).alias(f"m{c}") for c in (0, 1)), *((F.col(f"f{c}") + portion(c) * shared).alias(f"b{c}") for c in (0, 1)), *((F.col(f"c{c}") + portion(c) * shared).alias(f"z{c}") for c in (0, 1)))
-    known_pairs = pairs.join(contexts, "before").join(words, "word")
+    first = written(contexts, "contexts", tidy=True)
     # a pair's backoff counts go to the classes as its context and its word do
     weight = [F.col(f"m{c}") * F.col(f"p{c}") for c in (0, 1)]
     own = [shared_pairs * weight[c] / (weight[0] + weight[1]) for c in (0, 1)]
-    known_pairs = written(known_pairs.select("key", "before", *((left[c] + own[c] + F.col(f"b{c}") * F.col(f"p{c}")).alias(f"a{c}") for c in (0, 1)), *(own[c].alias(f"s{c}") for c in (0, 1))), "known_pairs")
-    more = known_pairs.groupBy("before").agg(*(_parts(F.col(f"s{c}")).alias(f"s{c}") for c in (0, 1)))
-    contexts = written(contexts.join(more, "before").select("before", "b0", "b1", *((F.col(f"z{c}") + F.col(f"s{c}")).alias(f"z{c}") for c in (0, 1))), "contexts")
-    known_pairs = known_pairs.select("key", "before", "a0", "a1")
-    pair_rows = known_pairs.join(contexts, "before")
+    slices = SLICES if known > FEW_WORDS else 1
+
+    def known_pairs(i: int, contexts: DataFrame) -> DataFrame:
+        of_slice = lambda rows: rows.where(F.pmod(F.xxhash64("before"), F.lit(slices)) == i)
+        return of_slice(pairs).join(small_enough(words, FEW_WORDS), "word").join(small_enough(of_slice(contexts), FEW_WORDS), "before")
+
+    def by_slices(rows: Callable[[int], DataFrame], tag: str) -> DataFrame:
+        """rows(i) of all slices, written one after another, so that little is dealt out at a time."""
+        return functools.reduce(DataFrame.unionByName, [written(rows(i), tag, tidy=True) for i in range(slices)])
+
+    more = by_slices(lambda i: known_pairs(i, first.select("before", "m0", "m1")).groupBy("before").agg(*(_parts(own[c]).alias(f"s{c}") for c in (0, 1))), "more")
+    contexts = written(first.join(more, "before").select("before", "m0", "m1", "b0", "b1", *((F.col(f"z{c}") + F.col(f"s{c}")).alias(f"z{c}") for c in (0, 1))), "contexts", tidy=True)
     some = lambda c: F.greatest(F.col(f"z{c}"), F.lit(1e-9))
-    p = [F.col(f"a{c}") / some(c) for c in (0, 1)]
+    p = [(left[c] + own[c] + F.col(f"b{c}") * F.col(f"p{c}")) / some(c) for c in (0, 1)]
     ratio = lambda one, zero: F.log(F.greatest(one, F.lit(1e-300)) / F.greatest(zero, F.lit(1e-300))).cast("float").alias("ratio")
     row = lambda rows, kind, key, one, zero: rows.select(F.lit(kind).alias("kind"), F.col(key).alias("key"), ratio(one, zero))
-    out = row(pair_rows, 2, "key", p[1], p[0]).unionByName(row(words, 1, "word", F.col("p1"), F.col("p0")))
-    out = out.unionByName(row(contexts, 0, "before", F.col("b1") / some(1), F.col("b0") / some(0)))
+    out = by_slices(lambda i: known_pairs(i, contexts).select("before", "word", ratio(p[1], p[0])).mapInArrow(_keyed, "kind int, key bigint, ratio float"), "ratios")
+    rest = row(words, 1, "word", F.col("p1"), F.col("p0")).unionByName(row(contexts, 0, "before", F.col("b1") / some(1), F.col("b0") / some(0)))
     last = counted.sparkSession.range(1).select(F.lit(3).alias("kind"), F.col("id").alias("key"), F.lit(float(np.log(unknown[1] / unknown[0]))).cast("float").alias("ratio"))
-    out = written(out.unionByName(last), "ratios")
-    dropped(pairs, counts, contexts, known_pairs)
-    return out
+    rest = written(rest.unionByName(last), "ratios", tidy=True)
+    dropped(pairs, counts, words, first, more, contexts)
+    return out.unionByName(rest)
+
+
+def _keyed(batches):
+    """(before, word, ratio) of pairs -> (kind, key, ratio)."""
+    for batch in batches:
+        before, word = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (0, 1))
+        yield pa.record_batch([pa.array(np.full(len(word), 2, np.int32)), pa.array(pair_keys(before, word).view(np.int64)), batch.column(2)], names=["kind", "key", "ratio"])
 
 
 class Evidence:
-    """The rows of class_models() as arrays sorted by key."""
+    """The rows of class_models(), or parts of them by key(), as arrays sorted by key."""
 
     def __init__(self, kind: np.ndarray, key: np.ndarray, ratio: np.ndarray):
-        self.tables = []
+        self.tables: list[list[tuple[np.ndarray, np.ndarray]]] = []
         for k in (0, 1, 2):
             own = np.flatnonzero(kind == k)
             keys = key[own].view(np.uint64)
             order = np.argsort(keys)
-            self.tables.append((keys[order], ratio[own][order].astype(np.float32)))
+            self.tables.append([(keys[order], ratio[own][order].astype(np.float32))] if len(own) else [])
         unknown = ratio[kind == 3]
         self.unknown = float(unknown[0]) if len(unknown) else 0.0
 
+    @classmethod
+    def together(cls, parts: list[Evidence]) -> Evidence:
+        """One of several that each have other rows; nothing is copied."""
+        out = cls.__new__(cls)
+        out.tables = [[t for p in parts for t in p.tables[k]] for k in (0, 1, 2)]
+        out.unknown = sum(p.unknown for p in parts)
+        return out
+
     def _of(self, kind: int, wanted: np.ndarray, default: np.ndarray | float) -> np.ndarray:
-        keys, values = self.tables[kind]
         out = np.zeros(len(wanted)) + default
-        if len(keys):
-            order = np.argsort(wanted)  # in order, so that the search stays in nearby memory
-            at = np.minimum(np.searchsorted(keys, wanted[order]), len(keys) - 1)
-            known = keys[at] == wanted[order]
-            out[order[known]] = values[at[known]]
+        order = np.argsort(wanted)  # in order, so that the search stays in nearby memory
+        ordered = wanted[order]
+        for keys, values in self.tables[kind]:
+            some = slice(np.searchsorted(ordered, keys[0]), np.searchsorted(ordered, keys[-1], "right"))
+            at = np.searchsorted(keys, ordered[some])
+            known = keys[at] == ordered[some]
+            out[order[some][known]] = values[at[known]]
         return out
 
     def ratios(self, words: np.ndarray, before: np.ndarray) -> np.ndarray:
         """log P(token | before, toxic) - log P(token | before, ordinary) of each token."""
-        backed_off = self._of(1, words, self.unknown) + self._of(0, before, 0.0)
-        return self._of(2, pair_keys(before, words), backed_off)
+        out = self._of(2, pair_keys(before, words), np.nan)
+        rest = np.flatnonzero(np.isnan(out))  # pairs that no training text holds
+        out[rest] = self._of(1, words[rest], self.unknown) + self._of(0, before[rest], 0.0)
+        return np.rint(out * GRID) / GRID
 
     def features(self, texts: list[np.ndarray]) -> np.ndarray:
         """Of each text, the difference's mean over its tokens and its largest value; 0 without tokens."""
@@ -238,47 +278,103 @@ class Evidence:
         return out
 
 
-def _features(shared):
+def _features(shared: list):
+    """(..., text) -> (..., x0, x1); shared: broadcasts of Evidence."""
+
     def run(batches):
-        evidence, hashes = shared.value, WordHashes(200_000)
+        evidence, hashes = Evidence.together([b.value for b in shared]), WordHashes(200_000)
         for batch in batches:
-            for at, texts in text_pieces(batch.column(1), 1_000_000):
+            *kept, _ = batch.schema.names
+            for at, texts in text_pieces(batch.column(len(kept)), 1_000_000):
                 rows = evidence.features([hashes.of(tokens(t)) for t in texts])
-                yield pa.record_batch([batch.column(0).slice(at, len(texts)).cast(pa.int64()), pa.array(list(rows), pa.list_(pa.float64()))], names=["doc_id", "x"])
+                yield pa.record_batch([*(batch.column(i).slice(at, len(texts)) for i in range(len(kept))), *(pa.array(rows[:, i]) for i in range(FEATURES))], names=[*kept, "x0", "x1"])
 
     return run
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, sample: int = 12_000, threshold: float = 0.3, shared: float = 4.0, shared_pairs: float = 10.0) -> DataFrame:
+def _pair_rows(batches):
+    """(row, text) -> (row, key, before, word, times) of each text's distinct pairs."""
+    hashes = WordHashes()
+    for batch in batches:
+        for at, texts in text_pieces(batch.column(1)):
+            for i, t in zip(batch.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
+                words = _started(hashes.of(tokens(t)))
+                keys, first, times = np.unique(bigrams(words), return_index=True, return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(keys), i, np.int64)), *(pa.array(a.view(np.int64)) for a in (keys, words[:-1][first], words[1:][first], times))], names=["__row", "key", "before", "word", "times"])
+
+
+def sent(model: DataFrame, n: int) -> list:
+    """The n rows of class_models() as broadcasts of Evidence of about PART_ROWS rows at most, by ranges of key; the driver holds one at a time."""
+    bits = max(0, math.ceil(math.log2(max(n, 1) / PART_ROWS)))
+    out = []
+    for i in range(2**bits):
+        own = model.where(F.shiftrightunsigned("key", 64 - bits) == i) if bits else model
+        arrow = own.toArrow()
+        out.append(model.sparkSession.sparkContext.broadcast(Evidence(*(arrow.column(c).to_numpy() for c in ("kind", "key", "ratio")))))
+        del arrow
+    return out
+
+
+def featured(model: DataFrame, broadcast_rows: int = 16_000_000) -> Callable[[DataFrame], DataFrame]:
+    """Of a table with a text, all other columns and the text's features x0, x1, by the rows of class_models().
+
+    A model of at most `broadcast_rows` is sent to the tasks and its table deleted; beyond, the
+    distinct pairs of each text are joined with it. The features are the same: ratios are multiples of 1 / GRID, so that
+    their sums are exact.
+    """
+    n = model.count()
+    others = lambda rows: [f"`{c}`" for c in rows.columns if c != "text"]
+    if n <= broadcast_rows:
+        shared = sent(model, n)
+        dropped(model)
+
+        def by_broadcast(rows: DataFrame) -> DataFrame:
+            kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
+            return rows.select(*others(rows), "text").mapInArrow(_features(shared), f"{kinds}x0 double, x1 double")
+
+        return by_broadcast
+    unknown = (model.where("kind = 3").first() or {"ratio": 0.0})["ratio"]
+    of = lambda kind, key: model.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("ratio").cast("double").alias(f"r{kind}"))
+
+    def by_join(rows: DataFrame) -> DataFrame:
+        rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        pairs = rows.select("__row", "text").mapInArrow(_pair_rows, "__row bigint, key bigint, before bigint, word bigint, times bigint")
+        pairs = pairs.join(of(2, "key"), "key", "left").join(of(1, "word"), "word", "left").join(of(0, "before"), "before", "left")
+        r = F.rint(F.coalesce("r2", F.coalesce("r1", F.lit(unknown)) + F.coalesce("r0", F.lit(0.0))) * GRID) / GRID
+        sums = pairs.withColumn("r", r).groupBy("__row").agg((F.sum(F.col("r") * F.col("times")) / F.sum("times")).alias("x0"), F.max("r").alias("x1"))
+        return rows.join(sums, "__row", "left").select(*others(rows.drop("__row")), *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("x0", "x1")))
+
+    return by_join
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, threshold: float = 0.3, shared: float = 4.0, shared_pairs: float = 10.0, broadcast_rows: int = 16_000_000) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text, ...).
 
-    Learns from labels.toxic of rows outside held_out (crc32 of doc_id modulo 4 is 2), from
-    `sample` labelled documents at most: remainders 0 and 1 give the counts, 3 the calibration.
-    Null labels and labels of unknown documents count for nothing; with no labels, or of one class
-    only, all scores lie near that class. A null or empty text has all features 0 and the score of
-    these. A null doc_id is never held out. Repeated rows give repeated rows, an empty table none;
-    other columns are ignored. The same rows give the same scores in whatever order or number of
-    partitions they come. The models hold all n-grams of the sample, so their size is bounded with
-    it; they are counted and smoothed in Spark, and only the ratios go through the driver.
+    Learns from labels.toxic of all rows outside held_out (crc32 of doc_id modulo 4 is 2):
+    remainders 0 and 1 give the counts, 3 the calibration. Null labels and labels of unknown
+    documents count for nothing; with no labels, or of one class only, all scores lie near that
+    class. A null or empty text has all features 0 and the score of these. A null doc_id is never
+    held out. Repeated rows give repeated rows, an empty table none; other columns are ignored.
+    The same rows give the same scores in whatever order or number of partitions they come. The
+    models hold all n-grams of the labelled rows; they are counted, smoothed and calibrated in
+    Spark. Up to `broadcast_rows` ratios go through the driver in parts of bounded size; beyond,
+    the texts' pairs are joined with them.
     """
-    spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text")
     fold = crc_fold("doc_id", 4)
     held_out = F.coalesce(fold == 2, F.lit(False)) if held_out is None else held_out
-    rows = written(labelled_sample(docs, labels, "toxic", fold != 2, sample).withColumn("fold", fold), "labelled")
+    ids = written(labelled_ids(docs, labels, "toxic", fold != 2), "labelled", tidy=True)
+    rows = lambda folds: docs.join(small_enough(ids.where(folds)), "doc_id").select("doc_id", "text", "y")
     # copies and near copies of a text are no further evidence
-    texts = without_copies(rows.where("fold < 2"))
+    texts = without_copies(rows(fold < 2))
     model = class_models(texts.mapInArrow(_count, "key bigint, before bigint, word bigint, n0 bigint, n1 bigint"), shared, shared_pairs)
-    arrow = model.toArrow()
-    evidence = spark.sparkContext.broadcast(Evidence(*(arrow.column(c).to_numpy() for c in ("kind", "key", "ratio"))))
-    del arrow
-    schema = "doc_id bigint, x array<double>"
-    fit = rows.where("fold = 3").select("doc_id", "text").mapInArrow(_features(evidence), schema).join(rows.select("doc_id", "y").distinct(), "doc_id").orderBy("doc_id", "x").toArrow()
-    x = np.array(fit.column("x").to_pylist(), float).reshape(-1, FEATURES)
-    weights = fit_logistic(x, fit.column("y").to_numpy().clip(0, 1).astype(float))
-    dropped(rows, texts, model)
-    scored = docs.mapInArrow(_features(evidence), schema)
-    logit = sum((F.col("x")[i] * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
+    dropped(texts)
+    features = featured(model, broadcast_rows)
+    fit = written(features(rows(fold == 3)).select("x0", "x1", F.col("y").cast("double").alias("y")), "fit", tidy=True)
+    weights = fit_logistic_table(fit.withColumn("y", F.greatest(F.least("y", F.lit(1.0)), F.lit(0.0))), ["x0", "x1"], "y")
+    scored = features(docs)
+    dropped(ids, fit)
+    logit = sum((F.col(f"x{i}") * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
     score = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(40.0)), F.lit(-40.0))))
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitelens.llm import common, fingerprints, html_text, line_dedup, mixing, near_dedup, packing, perplexity, quality, token_counts, toxicity
+from sitelens.llm import common, fingerprints, html_text, learn, line_dedup, mixing, near_dedup, packing, perplexity, quality, token_counts, toxicity
 from sitelens.llm.graph import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -241,6 +241,41 @@ def test_toxicity_is_the_same_in_any_order(spark):
         assert len(got) == 200 and {r.predicted for r in got} == {y}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark):
+    # the only documents that show the class of "vile" are the last by hash of doc_id, past any 12,000
+    ids = spark.range(16_200).select(F.col("id").alias("doc_id")).where("crc32(cast(cast(doc_id AS string) AS binary)) % 4 <> 2").orderBy(F.xxhash64("doc_id"))
+    last = [r.doc_id for r in ids.collect()[12_000:]]
+    assert len(last) > 100
+    foul = F.col("doc_id").isin(last)
+    rows = spark.range(16_200).select(F.col("id").alias("doc_id"), F.concat(F.lit("a"), F.col("id"), F.lit(" b"), F.col("id") % 7, F.when(foul, F.lit(" vile vermin")).otherwise(F.lit(" mild kitten"))).alias("text"))
+    marks = rows.select("doc_id", foul.cast("int").alias("toxic"))
+    more = spark.createDataFrame([(99_999, "b1 vile vermin"), (99_998, "b1 mild kitten")], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity_scores(rows.unionByName(more), marks).where("doc_id > 50000").collect()}
+    assert got == {99_999: 1, 99_998: 0}
+
+
+def test_toxicity_by_joins_equals_that_by_broadcast(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{min(int(rng.expovariate(0.1)), 60)}" for _ in range(30)) + (" foul" if i % 4 == 0 else "") for i in range(200)]
+    rows = spark.createDataFrame([*enumerate(texts), (7, texts[8]), (None, "w1 foul"), (300, None), (301, "")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    one = sorted(map(repr, toxicity.toxicity_scores(rows, marks).collect()))
+    monkeypatch.setattr(toxicity, "PART_ROWS", 200)
+    monkeypatch.setattr(toxicity, "FEW_WORDS", 5)
+    assert sorted(map(repr, toxicity.toxicity_scores(rows, marks).collect())) == one
+    assert sorted(map(repr, toxicity.toxicity_scores(rows, marks, broadcast_rows=10).collect())) == one
+
+
+def test_logistic_fit_by_sums_equals_that_on_the_driver(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2))
+    y = (x[:, 0] + rng.normal(size=300) > 0.5).astype(float)
+    table = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y, strict=True)], "x0 double, x1 double, y double")
+    one, two = (learn.fit_logistic_table(table, ["x0", "x1"], "y", collected=n) for n in (1000, 10))
+    assert np.allclose(one, learn.fit_logistic(x, y)) and np.allclose(one, two, atol=1e-6)
+    assert all(learn.fit_logistic_table(table.where(f"y = {v}"), ["x0", "x1"], "y", collected=1)[-1] == (6.0 if v else -6.0) for v in (0, 1))
+
+
 def brute_main(lines, lengths):
     """Windows of three lines; from the first that is not empty to the last."""
     full = [i for i in range(len(lengths)) if sum(lengths[j] for j in range(len(lengths)) if abs(i - j) <= 1)]
