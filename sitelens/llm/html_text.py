@@ -3,12 +3,14 @@
 Markup is stripped into lines, one for each block-level element; a line inside a container that
 holds no article text by its name (nav, header, footer, aside, form, a class or id that says
 sidebar, advert, cookie notice, comments ...) is muted: it stays in the sequence of lines, with no
-length. Line lengths are summed over a sliding window. The text surges where a window's sum first
-rises from nothing and dives where it falls back to nothing for the last time; everything in
-between that is not muted is kept, short lines and lists of links too.
-Where the densest window lies in an article or main, the search for surge and dive is bounded to
-the lines of the page's articles; else it takes the whole page, where the characters of links in a
-line that is mostly links do not count. Reading a page takes time linear in its length, however
+length. Line lengths are summed over a sliding window. The text surges where a window's sum rises
+from nothing and dives where it falls back to nothing; what lies before the first surge, past the
+last dive or between a dive and the next surge goes, everything else that is not muted is kept,
+short lines and a link or two between paragraphs too. Lines that are mostly links have no length,
+so that a window falls to nothing on lists of links (menus) and never on other text.
+Where the densest window lies in an article or main, only lines of the page's articles are kept,
+and lists of links in an article with any other text count as text; an article of nothing but
+links is a teaser. Else the search takes the whole page. Reading a page takes time linear in its length, however
 broken its markup is.
 """
 
@@ -229,20 +231,21 @@ def window_sums(lengths: list[int], window: int = WINDOW) -> list[int]:
     return [total[min(i + half + 1, n)] - total[max(i - half, 0)] for i in range(n)]
 
 
+def text_runs(lengths: list[int]) -> list[tuple[int, int]]:
+    """From each surge, where the window rises from nothing, to the dive where it next falls back: first line with length and the line past the last."""
+    sums, runs = window_sums(lengths), []
+    for full, run in itertools.groupby(range(len(sums)), lambda i: sums[i] > 0):
+        if full:
+            # a window rises before its lines do, and falls after them
+            inside = [i for i in run if lengths[i]]
+            runs.append((inside[0], inside[-1] + 1))
+    return runs
+
+
 def surge_and_dive(lengths: list[int]) -> tuple[int, int]:
     """The first line whose window rises from nothing and the line past the last before it falls back; (0, 0) for none."""
-    sums = window_sums(lengths)
-    rising = [i for i, s in enumerate(sums) if s and not (i and sums[i - 1])]
-    falling = [i for i, s in enumerate(sums) if s and not (i + 1 < len(sums) and sums[i + 1])]
-    if not rising:
-        return 0, 0
-    surge, dive = rising[0], falling[-1]
-    # a window rises before its lines do
-    while not lengths[surge]:
-        surge += 1
-    while not lengths[dive]:
-        dive -= 1
-    return surge, dive + 1
+    runs = text_runs(lengths)
+    return (runs[0][0], runs[-1][1]) if runs else (0, 0)
 
 
 def main_blocks(page: str) -> list[str]:
@@ -251,10 +254,14 @@ def main_blocks(page: str) -> list[str]:
     lengths = [0 if x.links and not x.article else x.length for x in lines]
     sums = window_sums(lengths)
     if any(sums) and lines[max(range(len(lines)), key=lambda i: (sums[i], lengths[i], -i))].article:
-        lines = [x for x in lines if x.article]
-        lengths = [x.length for x in lines]
+        # teasers, articles of nothing but links, have no length, as little as what lies outside the articles
+        told = {x.article for x in lines if x.article and not x.links} or {x.article for x in lines}
+        lengths = [x.length if x.article and x.article in told else 0 for x in lines]
+        lines = [x if x.article else Line("", 0, False, 0) for x in lines]
     surge, dive = surge_and_dive(lengths)
-    return [x.text for x in lines[surge:dive] if x.length]
+    lines = lines[surge:dive]
+    # where the window falls to nothing in between, there is a list of links
+    return [x.text for first, last in text_runs(lengths[surge:dive]) for x in lines[first:last] if x.length]
 
 
 def main_text(page: str) -> str:

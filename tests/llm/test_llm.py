@@ -283,6 +283,18 @@ def test_html_text_keeps_sibling_articles_and_unmarked_text():
     assert html_text.main_blocks(page)[:2] == [one.strip(), two.strip()]
 
 
+def test_html_text_dives_at_lists_of_links():
+    one, two = "first part " * 30, "second part " * 20
+    links = "".join(f"<li><a href={i}>Menu entry {i}</a></li>" for i in range(4))
+    # a menu without a name between the site's title and the text, and one in the middle; a single link stays
+    page = f"<body><div>My site</div><ul>{links}</ul><div><p>{one}</p><p><a href=x>See this</a></p><p>{two}</p></div><ul>{links}</ul><p>The end.</p></body>"
+    assert html_text.main_blocks(page) == ["My site", one.strip(), "See this", two.strip(), "The end."]
+    # teasers around an article go, its own list of links stays
+    teaser = "<article><h3><a href=x>Another story of the day</a></h3></article>"
+    page = f"<body>{teaser * 2}<article><h1>Title</h1><p>{one}</p><ul>{links}</ul><p>{two}</p></article>{teaser * 3}</body>"
+    assert html_text.main_blocks(page) == ["Title", one.strip(), *(f"Menu entry {i}" for i in range(4)), two.strip()]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
