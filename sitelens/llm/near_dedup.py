@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, documents, dropped, hot_join, mix, shingle_hashes, small_enough, text_pieces, written
+from .common import GOLDEN, WordHashes, documents, dropped, hot_join, mix, shingle_hashes, small_enough, swept, text_pieces, written
 from .graph import components
 
 BINS = 128
@@ -176,6 +176,7 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
     similarity, bar = percent / 100, _bar(percent / 100)
     trees = trees or trees_for(recall, min(similarity, 0.99), max_depth)
     spark = docs.sparkSession
+    swept(spark)
     docs = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("h"))
     signed = written(docs.mapInArrow(_signatures(k, trees), _SIG_SCHEMA), "signed")
     some = signed.where("class is not null")
@@ -309,6 +310,7 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
         pairs = at_roots(labelled(classes), min(i * ROUND_TREES, trees), min((i + 1) * ROUND_TREES, trees), i * PIVOTS)
         linked(confirmed(pairs.join(tried, ["a", "b"], "left_anti")))
         tried = tried.unionByName(pairs)
+    swept(spark)
     tree_rows = written(labelled(classes).drop("m"), "labelled")
     found, dense = descend(tree_rows)
     pairs = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHashes, crc_fold, documents, dropped, mix, pick, small_enough, text_bytes, text_pieces, written
+from .common import GOLDEN, WordHashes, crc_fold, documents, dropped, mix, pick, small_enough, swept, text_bytes, text_pieces, written
 from .learn import fit_logistic_table, labelled_ids
 
 #: What stands before the first word of a text.
@@ -325,8 +325,10 @@ def featured(model: DataFrame, broadcast_rows: int = 16_000_000) -> Callable[[Da
     n = model.count()
     others = lambda rows: [f"`{c}`" for c in rows.columns if c != "text"]
     if n <= broadcast_rows:
+        swept(model.sparkSession)
         shared = sent(model, n)
         dropped(model)
+        swept(model.sparkSession)
 
         def by_broadcast(rows: DataFrame) -> DataFrame:
             kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
