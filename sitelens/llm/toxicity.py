@@ -38,6 +38,8 @@ PARTS = 2**32
 GRID = 2.0**24
 #: Rows of the models that the driver holds at once.
 PART_ROWS = 1_000_000
+#: Parts after which the driver lets go of what their way through it left.
+SWEEP_PARTS = 4
 #: Words whose table is broadcast, and the parts, by context, in which pairs are joined with larger ones.
 FEW_WORDS, SLICES = 200_000, 4
 _TOKEN = rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
@@ -312,15 +314,18 @@ def sent(model: DataFrame, n: int) -> list:
         arrow = own.toArrow()
         out.append(model.sparkSession.sparkContext.broadcast(Evidence(*(arrow.column(c).to_numpy() for c in ("kind", "key", "ratio")))))
         del arrow
+        if i % SWEEP_PARTS == SWEEP_PARTS - 1:
+            swept(model.sparkSession)
     return out
 
 
-def featured(model: DataFrame, broadcast_rows: int = 16_000_000) -> Callable[[DataFrame], DataFrame]:
-    """Of a table with a text, all other columns and the text's features x0, x1, by the rows of class_models().
+def featured(model: DataFrame, broadcast_rows: int = 16_000_000) -> tuple[Callable[[DataFrame], DataFrame], Callable[[], None]]:
+    """Of a table with a text, all other columns and the text's features x0, x1, by the rows of class_models(); and what to call once all such tables are written.
 
     A model of at most `broadcast_rows` is sent to the tasks and its table deleted; beyond, the
     distinct pairs of each text are joined with it. The features are the same: ratios are multiples of 1 / GRID, so that
-    their sums are exact.
+    their sums are exact. The call at the end frees the model: a table that isn't written would hold
+    its broadcasts in the driver for as long as anybody holds the table.
     """
     n = model.count()
     others = lambda rows: [f"`{c}`" for c in rows.columns if c != "text"]
@@ -334,19 +339,26 @@ def featured(model: DataFrame, broadcast_rows: int = 16_000_000) -> Callable[[Da
             kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name != "text")
             return rows.select(*others(rows), "text").mapInArrow(_features(shared), f"{kinds}x0 double, x1 double")
 
-        return by_broadcast
+        def destroyed() -> None:
+            for b in shared:
+                b.destroy()
+
+        return by_broadcast, destroyed
     unknown = (model.where("kind = 3").first() or {"ratio": 0.0})["ratio"]
     of = lambda kind, key: model.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("ratio").cast("double").alias(f"r{kind}"))
 
+    read = [model]
+
     def by_join(rows: DataFrame) -> DataFrame:
         rows = written(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
+        read.append(rows)
         pairs = rows.select("__row", "text").mapInArrow(_pair_rows, "__row bigint, key bigint, before bigint, word bigint, times bigint")
         pairs = pairs.join(of(2, "key"), "key", "left").join(of(1, "word"), "word", "left").join(of(0, "before"), "before", "left")
         r = F.rint(F.coalesce("r2", F.coalesce("r1", F.lit(unknown)) + F.coalesce("r0", F.lit(0.0))) * GRID) / GRID
         sums = pairs.withColumn("r", r).groupBy("__row").agg((F.sum(F.col("r") * F.col("times")) / F.sum("times")).alias("x0"), F.max("r").alias("x1"))
         return rows.join(sums, "__row", "left").select(*others(rows.drop("__row")), *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("x0", "x1")))
 
-    return by_join
+    return by_join, lambda: dropped(*read)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | None = None, threshold: float = 0.3, shared: float = 4.0, shared_pairs: float = 10.0, broadcast_rows: int = 16_000_000) -> DataFrame:
@@ -360,7 +372,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | No
     The same rows give the same scores in whatever order or number of partitions they come. The
     models hold all n-grams of the labelled rows; they are counted, smoothed and calibrated in
     Spark. Up to `broadcast_rows` ratios go through the driver in parts of bounded size; beyond,
-    the texts' pairs are joined with them.
+    the texts' pairs are joined with them. The features of all rows are written before this returns,
+    so that the result holds no model.
     """
     docs = pick(docs, "doc_id", "text")
     fold = crc_fold("doc_id", 4)
@@ -371,10 +384,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | No
     texts = without_copies(rows(fold < 2))
     model = class_models(texts.mapInArrow(_count, "key bigint, before bigint, word bigint, n0 bigint, n1 bigint"), shared, shared_pairs)
     dropped(texts)
-    features = featured(model, broadcast_rows)
+    features, freed = featured(model, broadcast_rows)
     fit = written(features(rows(fold == 3)).select("x0", "x1", F.col("y").cast("double").alias("y")), "fit", tidy=True)
     weights = fit_logistic_table(fit.withColumn("y", F.greatest(F.least("y", F.lit(1.0)), F.lit(0.0))), ["x0", "x1"], "y")
-    scored = features(docs)
+    scored = written(features(docs), "scored", tidy=True)
+    freed()
     dropped(ids, fit)
     logit = sum((F.col(f"x{i}") * float(w) for i, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
     score = 1 / (1 + F.exp(-F.greatest(F.least(logit, F.lit(40.0)), F.lit(-40.0))))

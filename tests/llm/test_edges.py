@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import os
 import random
 import time
 from collections import Counter, defaultdict
@@ -266,6 +267,27 @@ def test_toxicity_by_joins_equals_that_by_broadcast(spark, monkeypatch):
     assert sorted(map(repr, toxicity.toxicity_scores(rows, marks, broadcast_rows=10).collect())) == one
 
 
+def test_toxicity_result_holds_no_model(spark, monkeypatch):
+    # else a caller that keeps one result while it makes the next has two models in the driver
+    rng = random.Random(6)
+    rows = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(60)}" for _ in range(30)) + (" foul" if i % 4 == 0 else "")) for i in range(200)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
+    sent, real = [], toxicity.sent
+    monkeypatch.setattr(toxicity, "PART_ROWS", 200)
+    monkeypatch.setattr(toxicity, "sent", lambda *a: sent.extend(found := real(*a)) or found)
+    scores = toxicity.toxicity_scores(rows, marks)
+    assert len(sent) > toxicity.SWEEP_PARTS
+    assert not any(b._jbroadcast.isValid() or os.path.exists(b._path) for b in sent)
+    got = sorted(map(repr, scores.collect()))
+    assert len(got) == 200
+    # by joins: only the table of features stays
+    own = lambda: set(os.listdir(f"{common.shared_dir(spark)}/sitelens"))
+    before = own()
+    joined = toxicity.toxicity_scores(rows, marks, broadcast_rows=10)
+    assert {x.partition("-")[0] for x in own() - before} == {"scored"}
+    assert sorted(map(repr, joined.collect())) == got
+
+
 def test_logistic_fit_by_sums_equals_that_on_the_driver(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 2))
