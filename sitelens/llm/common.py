@@ -79,14 +79,17 @@ def small_enough(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, *, how: str = "inner", hottest: int = 100_000, least: int = 500) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str, n: str, *, how: str = "inner", hottest: int = 100_000, least: int = 500, few: int = 0) -> DataFrame:
     """rows joined (inner or left) with table (a written one; one row a key) by key, without its column n.
 
     n says how many of the rows have the key. Keys with more than one in `hottest` of all counted
     rows (and more than `least`) are joined by broadcast, so that none fills a task; there are
-    fewer than `hottest` of them. The others are joined by a shuffle.
+    fewer than `hottest` of them. The others are joined by a shuffle. A table of at most `few`
+    (narrow) rows is broadcast as a whole.
     """
-    found = table.agg(F.sum(n).alias("all"), F.max(n).alias("most")).first()
+    found = table.agg(F.sum(n).alias("all"), F.max(n).alias("most"), F.count("*").alias("keys")).first()
+    if few and found["keys"] <= few:
+        return rows.join(F.broadcast(table.drop(n)), key, how)
     line = max(least, (found["all"] or 0) // hottest)
     if (found["most"] or 0) <= line:
         return rows.join(table.drop(n), key, how)

@@ -44,6 +44,8 @@ ROUNDS, ROUND_TREES, PIVOTS = 2, 2, 4
 PIECE, WORDS = 500_000, 150_000
 #: Classes of a node in one block.
 BLOCK = 1000
+#: Narrow tables of at most so many rows (nodes, labels, pairs, ids) are broadcast: what they are joined with is not dealt out then.
+FEW = 200_000
 _ODD = [f"o{i}" for i in range(PARITY // 64)]
 _SKETCH = ["n", "s0", "s1", *_ODD]
 _SIG_SCHEMA = f"doc_id bigint, h bigint, n bigint, class bigint, s0 bigint, s1 bigint, {', '.join(f'{c} bigint' for c in _ODD)}, sig binary, paths array<bigint>"
@@ -193,31 +195,35 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
         pairs = x.join(y, ["node", "block"]).where(close)
         return pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"), same.alias("same"))
 
+    empty = spark.createDataFrame([], "a bigint, b bigint")
+    few = lambda rows, n: F.broadcast(rows) if n <= FEW else rows
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     dealt = lambda rows: rows.withColumn("block", F.pmod(F.xxhash64("class"), blocks).cast("int"))
     everywhere = lambda rows: rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
 
-    def against_pivots(rows: DataFrame, salt: int) -> DataFrame:
-        """Each class of rows (node, m, class, label and sketch; m: classes of the node) with PIVOTS classes of its node at most."""
+    def against_pivots(rows: DataFrame, salt: int, nodes: int) -> DataFrame:
+        """Each class of rows (node, m, class, label and sketch; m: classes of the node; `nodes` nodes at most) with PIVOTS classes of its node at most."""
         least = [F.min(F.struct(F.xxhash64("class", F.lit(salt + i)), "class", "label", *_SKETCH)).alias(f"p{i}") for i in range(PIVOTS)]
-        pivots = rows.groupBy("node").agg(F.first("m").alias("m"), *least).select("node", "m", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p"))
-        pivots = pivots.select("node", "m", "p.*").select("node", "m", "class", "label", *_SKETCH).distinct()
+        bare = (F.struct(*(F.col(f"p{i}.{c}") for c in ("class", "label", *_SKETCH))) for i in range(PIVOTS))
+        pivots = rows.groupBy("node").agg(F.first("m").alias("m"), *least).select("node", "m", F.explode(F.array_distinct(F.array(*bare))).alias("p"))
+        pivots = pivots.select("node", "m", "p.*")
+        if nodes <= FEW // 20:
+            return compared(rows.withColumn("block", F.lit(0)), F.broadcast(pivots.withColumn("block", F.lit(0))))
         return compared(dealt(rows), everywhere(pivots))
 
     def likest(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, same), each class with its likest partner."""
-        best = lambda c, d: pairs.groupBy(F.col(c).alias("x")).agg(F.max(F.struct("same", F.col(d).alias("y"))).alias("m")).select("x", "m.same", "m.y")
-        one = best("a", "b").unionByName(best("b", "a")).groupBy("x").agg(F.max(F.struct("same", "y")).alias("m"))
+        ends = F.array(*(F.struct(F.col(c).alias("x"), F.struct("same", F.col(d).alias("y")).alias("m")) for c, d in (("a", "b"), ("b", "a"))))
+        one = pairs.select(F.inline(ends)).groupBy("x").agg(F.max("m").alias("m"))
         return written(one.select(F.least("x", "m.y").alias("a"), F.greatest("x", "m.y").alias("b")).distinct(), "first")
 
     def at_roots(labelled: DataFrame, first: int, last: int, salt: int) -> DataFrame:
         """Each class with the likest of the pivots of its nodes at the first level of trees first..last."""
         rows = labelled.select("class", "label", *_SKETCH, F.explode(F.slice("paths", first + 1, last - first)).alias("node"))
         several = written(rows.groupBy("node").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.count("*").alias("m")).where("l0 <> l1").select("node", "m", F.col("m").alias("n_rows")), "several")
-        rows = written(hot_join(rows, several, "node", "n_rows"), "roots")
-        pairs = written(against_pivots(rows, salt).distinct(), "pairs")
-        best = likest(pairs)
-        dropped(several, rows, pairs)
+        rows = written(hot_join(rows, several, "node", "n_rows", few=FEW), "roots")
+        best = likest(against_pivots(rows, salt, several.count()))
+        dropped(several, rows)
         return best
 
     def descend(labelled: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
@@ -230,20 +236,19 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
             sizes = frontier.groupBy("node", "label").agg(F.count("*").alias("m"))
             counts = sizes.groupBy("node").agg((F.sum("m") - F.max("m")).alias("others"), F.max_by("label", F.struct("m", "label")).alias("main"), F.sum("m").alias("m")).where("others > 0")
             counts = written(counts.withColumn("n_rows", F.col("m")), "counts")
-            held = written(hot_join(frontier.select("class", "node"), counts, "node", "n_rows"), "held")
+            held = written(hot_join(frontier.select("class", "node"), counts, "node", "n_rows", few=FEW), "held")
             dropped(counts, *([frontier] if depth > 1 else []))
-            if held.isEmpty():
-                dropped(held)
-                break
-            small = held.where(F.col("others") <= leaf).select("node", "m", "class", "main").join(slim, "class")
-            found.append(written(compared(everywhere(small.where("label <> main")), dealt(small)).distinct(), "pairs"))
-            large = held.where(F.col("others") > leaf).select("class", "node", "m")
-            if large.isEmpty():
+            n_small, n_large = held.agg(F.count_if(F.col("others") <= leaf), F.count_if(F.col("others") > leaf)).first()
+            if n_small:
+                small = few(held.where(F.col("others") <= leaf).select("node", "m", "class", "main"), n_small).join(slim, "class")
+                found.append(written(compared(everywhere(small.where("label <> main")), dealt(small)), "pairs"))
+            if not n_large:
                 dropped(held)
                 break
+            large = few(held.where(F.col("others") > leaf).select("class", "node", "m"), n_large)
             if depth == max_depth:
                 dense = [written(large.join(slim, "class"), "dense")]
-                found.append(written(against_pivots(dense[0], ROUNDS * PIVOTS).distinct(), "pairs"))
+                found.append(written(against_pivots(dense[0], ROUNDS * PIVOTS, n_large // leaf), "pairs"))
                 dropped(held)
                 break
             frontier = large.join(labelled.select("class", "label", "sig"), "class").select("class", "node", "sig", "label").mapInArrow(_branch(similarity), "class bigint, node bigint, label bigint")
@@ -256,38 +261,39 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
         dropped(*found)
         return pairs, dense
 
-    empty = spark.createDataFrame([], "a bigint, b bigint")
-
     def confirmed(chosen: DataFrame) -> DataFrame:
-        """Those pairs whose full sets are close enough."""
+        """Those pairs (each there once) whose full sets are close enough."""
         chosen = written(chosen.select("a", "b"), "chosen")
-        if chosen.isEmpty():
+        n = chosen.count()
+        if not n:
             dropped(chosen)
             return empty
-        ids = written(chosen.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("m")), "ids")
-        wanted = written(classes.join(ids.select("class"), "class").select(F.col("first.doc_id").alias("wanted_id"), F.col("first.h").alias("wanted_h")).distinct(), "wanted")
+        ends = chosen.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count("*").alias("m"))
+        ids = written(classes.select("class", F.col("first.doc_id").alias("wanted_id"), F.col("first.h").alias("wanted_h")).join(few(ends, n), "class"), "ids")
+        wanted = ids.select("wanted_id", "wanted_h")
         own = docs.join(small_enough(wanted), docs["doc_id"].eqNullSafe(F.col("wanted_id")) & (docs["h"] == F.col("wanted_h")), "left_semi")
         items = own.select("doc_id", "text").mapInArrow(_shingle_rows(k), "class bigint, items array<bigint>").dropDuplicates(["class"])
-        items = written(items.join(ids, "class"), "items")
+        items = written(items.join(few(ids.select("class", "m"), n), "class"), "items")
         # a class that very many pairs share: its set goes to each block of them
         found = ids.agg(F.max("m").alias("most"), F.sum("m").alias("all")).first()
         line = max(BLOCK, found["all"] // 100_000)
 
-        def with_items(pairs: DataFrame, c: str, other: str) -> DataFrame:
+        def with_items(pairs: DataFrame, c: str, other: str, size: int) -> DataFrame:
+            """pairs (size: its rows, if it is narrow) with the sets of their ends c."""
             sets = items.select(F.col("class").alias(c), F.col("items").alias(f"{c}_items"), "m")
             if found["most"] <= line:
-                return pairs.join(sets.drop("m"), c)
+                return few(pairs, size).join(sets.drop("m"), c)
             hubs = sets.where(F.col("m") > line)
-            few = F.broadcast(hubs.select(c, "m"))
-            marked = pairs.join(few, c).withColumn("block", F.pmod(F.xxhash64(other), blocks).cast("int")).drop("m")
-            rest = pairs.join(few, c, "left_anti").join(sets.where(F.col("m") <= line).drop("m"), c)
+            hot = F.broadcast(hubs.select(c, "m"))
+            marked = pairs.join(hot, c).withColumn("block", F.pmod(F.xxhash64(other), blocks).cast("int")).drop("m")
+            rest = few(pairs.join(hot, c, "left_anti"), size).join(sets.where(F.col("m") <= line).drop("m"), c)
             return rest.unionByName(marked.join(everywhere(hubs).drop("m"), [c, "block"]).drop("block"))
 
-        both = with_items(with_items(chosen, "a", "b"), "b", "a")
+        both = with_items(with_items(chosen, "a", "b", n), "b", "a", FEW + 1)
         shared = F.size(F.array_intersect("a_items", "b_items"))
         union = F.size("a_items") + F.size("b_items") - shared
-        links = written(both.where(100 * shared >= percent * union).select("a", "b").distinct(), "confirmed")
-        dropped(chosen, ids, wanted, items)
+        links = written(both.where(100 * shared >= percent * union).select("a", "b"), "confirmed")
+        dropped(chosen, ids, items)
         return links
 
     def across(p: DataFrame) -> DataFrame:
@@ -296,7 +302,7 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
         return p.join(lab("a"), "a", "left").join(lab("b"), "b", "left").where(F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).select("a", "b")
 
     labelled = lambda rows: rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-    links, tried, labels = empty, empty, components(empty)
+    links, tried, labels = empty, empty, spark.createDataFrame([], "node bigint, label bigint")
 
     def linked(more: DataFrame) -> None:
         """Take these pairs as links too."""
@@ -304,25 +310,25 @@ def _components_of(docs: DataFrame, k: int, percent: int, trees: int | None, rec
         if not more.isEmpty():
             links = links.unionByName(more)
             dropped(labels)
-            labels = components(links)
+            labels = small_enough(components(links), 2 * FEW)
 
     for i in range(ROUNDS):
         pairs = at_roots(labelled(classes), min(i * ROUND_TREES, trees), min((i + 1) * ROUND_TREES, trees), i * PIVOTS)
         linked(confirmed(pairs.join(tried, ["a", "b"], "left_anti")))
-        tried = tried.unionByName(pairs)
+        tried = small_enough(tried.unionByName(pairs), FEW)
     swept(spark)
     tree_rows = written(labelled(classes).drop("m"), "labelled")
     found, dense = descend(tree_rows)
     pairs = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
     # each class against its likest candidate, then what these leave apart
-    first = likest(pairs)
+    first = small_enough(likest(pairs), FEW)
     linked(confirmed(first))
     linked(confirmed(across(pairs.join(first, ["a", "b"], "left_anti"))))
     for rows in dense:
         parts = labelled(rows.drop("label"))
         sizes = parts.groupBy("node", "label").agg(F.count("*").alias("of_label"))
         largest = sizes.groupBy("node").agg(F.max_by("label", F.struct("of_label", "label")).alias("main"), F.count("*").alias("parts"), F.sum("of_label").alias("n_rows")).where("parts > 1")
-        parts = written(hot_join(parts, written(largest.drop("parts"), "largest"), "node", "n_rows"), "parts")
+        parts = written(hot_join(parts, written(largest.drop("parts"), "largest"), "node", "n_rows", few=FEW), "parts")
         rest = compared(everywhere(parts.where("label <> main")), dealt(parts)).select("a", "b").distinct()
         linked(confirmed(rest.join(pairs, ["a", "b"], "left_anti").join(tried, ["a", "b"], "left_anti")))
         dropped(parts)
@@ -344,8 +350,8 @@ def near_duplicate_groups(docs: DataFrame, *, k: int = 3, percent: int = 85, tre
     """
     signed, named, _ = _components_of(docs, k, percent, trees, recall, leaf, max_depth)
     lowest = written(named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_rows")), "lowest")
-    named = written(hot_join(named.select("class", "label", F.col("m").alias("of_class")), lowest, "label", "n_rows").select("class", "component_id", "of_class"), "named")
-    out = hot_join(signed.select("doc_id", F.col("n").alias("n_shingles"), "class"), named, "class", "of_class", how="left")
+    named = written(hot_join(named.select("class", "label", F.col("m").alias("of_class")), lowest, "label", "n_rows", few=FEW).select("class", "component_id", "of_class"), "named")
+    out = hot_join(signed.select("doc_id", F.col("n").alias("n_shingles"), "class"), named, "class", "of_class", how="left", few=FEW)
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -360,8 +366,8 @@ def keep_one_of_each_group(docs: DataFrame, *, k: int = 5, percent: int = 80, tr
     """
     signed, named, tables = _components_of(docs, k, percent, trees, recall, leaf, max_depth)
     best = written(named.groupBy("label").agg(F.min("first").alias("best"), F.count("*").alias("n_rows")), "best")
-    named = written(hot_join(named.select("class", "label", F.col("m").alias("of_class")), best, "label", "n_rows").select("class", "best", "of_class"), "named")
-    rows = written(hot_join(signed.select("doc_id", "h", "class"), named, "class", "of_class").select("doc_id", "h", (_place() != F.col("best")).alias("goes")).groupBy("doc_id", "h", "goes").agg(F.count("*").alias("n")), "places")
+    named = written(hot_join(named.select("class", "label", F.col("m").alias("of_class")), best, "label", "n_rows", few=FEW).select("class", "best", "of_class"), "named")
+    rows = written(hot_join(signed.select("doc_id", "h", "class"), named, "class", "of_class", few=FEW).select("doc_id", "h", (_place() != F.col("best")).alias("goes")).groupBy("doc_id", "h", "goes").agg(F.count("*").alias("n")), "places")
     gone = written(rows.where("goes").select(F.col("doc_id").alias("__id"), F.col("h").alias("__of_text")), "gone")
     twice = written(rows.where("not goes and n > 1").select(F.col("doc_id").alias("__id"), F.col("h").alias("__of_text")), "twice")
     dropped(best, named, rows, *tables)

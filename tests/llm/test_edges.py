@@ -92,6 +92,51 @@ def test_components_of_an_ordered_path(spark):
     assert len(got) == 1001 and {r.label for r in got} == {0} and sum(steps) <= 12
 
 
+def test_links_labelled_in_the_driver_as_by_rounds(spark):
+    rng = random.Random(3)
+    links = [(rng.randrange(-500, 500), rng.randrange(-500, 500)) for _ in range(450)] + [(i, i + 1) for i in range(1000, 1300)] + [(7, 7), (None, 3), (9999, 9999)]
+    links = spark.createDataFrame(links, "a long, b long")
+    assert sorted(components(links).collect()) == sorted(components(links, local=0).collect()) == sorted(components(links, rounds=[]).collect())
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_near_dedup_with_small_tables_broadcast_and_dealt_out(spark, few):
+    """Few labels, pairs and nodes go by broadcast, so that few stages have a task for each partition of a shuffle; the rows are the same where nothing is few."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(200)]
+    texts = [" ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(30)) for _ in range(20)]
+    for _ in range(40):
+        words = list(base)
+        for i in rng.sample(range(200), rng.choice([2, 9])):
+            words[i] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    texts += texts[:20]
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for t in texts)]
+    lowest = list(range(len(texts)))
+    for _ in range(6):
+        for i, x in enumerate(sets):
+            lowest[i] = min(lowest[j] for j, y in enumerate(sets) if 100 * len(x & y) >= 85 * len(x | y))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sc, conf = spark.sparkContext, {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    near_dedup.FEW, kept = few, getattr(near_dedup, "FEW", None)
+    sc.setJobGroup(group := f"near_dedup with {few}", group)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        got = near_dedup.near_duplicate_groups(rows, trees=2, leaf=10, max_depth=2).collect()
+    finally:
+        near_dedup.FEW = kept
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(lowest))
+    tracker = sc.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    dealt = sum(info.numTasks >= 23 and info.numCompletedTasks > 0 for s in stages if (info := tracker.getStageInfo(s)))
+    assert not few or 0 < dealt <= 32, dealt
+
+
 def test_trees_follow_from_the_recall():
     assert near_dedup.survival(0.85, 1) == 0.85
     for depth in (1, 5, 8):
