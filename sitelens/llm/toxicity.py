@@ -42,6 +42,8 @@ PART_ROWS = 1_000_000
 SWEEP_PARTS = 4
 #: Words whose table is broadcast, and the parts, by context, in which pairs are joined with larger ones.
 FEW_WORDS, SLICES = 200_000, 4
+#: Rows of the words and contexts of a model that are sent, rows of pairs in a bucket, and characters of the texts that ask a bucket at once.
+VOCABULARY_ROWS, BUCKET_ROWS, ASK_CHARS = 16_000_000, 4_000_000, 1_000_000
 _TOKEN = rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+"
 
 
@@ -305,6 +307,127 @@ def _pair_rows(batches):
                 yield pa.record_batch([pa.array(np.full(len(keys), i, np.int64)), *(pa.array(a.view(np.int64)) for a in (keys, words[:-1][first], words[1:][first], times))], names=["__row", "key", "before", "word", "times"])
 
 
+#: Packed arrays that go to a bucket: keys (8 bytes) and ratios of a part of the model, or the pairs of some texts as numbers of words.
+_PACKED = "bucket int, asked boolean, ids array<bigint>, sizes array<int>, a binary, b binary, times binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "asked", "ids", "sizes", "a", "b", "times"])
+
+
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32, compressed: first bytes of all, second bytes of all, ..."""
+    return pa.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _unsqueezed(packed: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(packed, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, n).T).view("<u4")[:, 0]
+
+
+def _ranges(keys: np.ndarray, bits: int):
+    """(bucket, places) of keys by their first bits."""
+    buckets = (keys >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(keys), np.int32)
+    order = np.argsort(buckets, kind="stable")
+    ends = np.flatnonzero(np.diff(buckets[order])) + 1
+    for places in np.split(order, ends) if len(keys) else ():
+        yield int(buckets[places[0]]), places
+
+
+def _offered(bits: int):
+    """(key, ratio) of known pairs -> _PACKED."""
+
+    def run(batches):
+        for batch in batches:
+            keys, ratios = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            if len(keys):
+                yield _packed([(i, False, [], [], keys[at].tobytes(), ratios[at].tobytes(), b"") for i, at in _ranges(keys, bits)])
+
+    return run
+
+
+def _asked(shared: list, bits: int):
+    """(row, text) -> _PACKED: the distinct pairs of each text, as numbers of the words in the tables of shared (Vocabulary); each pair goes to one bucket."""
+
+    def run(batches):
+        vocabulary, hashes = Vocabulary([b.value for b in shared]), WordHashes(200_000)
+        for batch in batches:
+            for at, texts in text_pieces(batch.column(1), ASK_CHARS):
+                ids = batch.column(0).slice(at, len(texts)).to_numpy()
+                found: list[tuple[np.ndarray, ...]] = []
+                for i, t in enumerate(texts):
+                    words = _started(hashes.of(tokens(t)))
+                    keys, first, times = np.unique(bigrams(words), return_index=True, return_counts=True)
+                    found.append((keys, words[:-1][first], words[1:][first], times, np.full(len(keys), i)))
+                keys, before, word, times, text = (np.concatenate(x) for x in zip(*found, strict=True))
+                before, word = vocabulary.numbers(before), vocabulary.numbers(word)
+                rows = []
+                for i, places in _ranges(keys, bits):
+                    own, sizes = np.unique(text[places], return_counts=True)  # places go up, so texts stay together
+                    rows.append((i, True, ids[own].tolist(), sizes.tolist(), _squeezed(word[places]), _squeezed(before[places]), _squeezed(times[places])))
+                if rows:
+                    yield _packed(rows)
+
+    return run
+
+
+def _answered(shared: list):
+    """_PACKED, each bucket's part of the model before the pairs asked for -> (row, total, n, most): sums over a text's pairs of the bucket, and the largest ratio."""
+
+    def run(batches):
+        vocabulary = Vocabulary([b.value for b in shared])
+        bucket, parts, table = None, [], None
+        for batch in batches:
+            out = []
+            for i in range(batch.num_rows):
+                at, asked, ids, sizes, a, b, times = (batch.column(c)[i] for c in range(7))
+                if at.as_py() != bucket:
+                    bucket, parts, table = at.as_py(), [], None
+                a, b = a.as_py(), b.as_py()
+                if not asked.as_py():
+                    parts.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float32)))
+                    continue
+                if table is None:
+                    keys, ratios = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.empty(0, np.uint64), np.empty(0, np.float32))
+                    table, parts = Evidence(np.full(len(keys), 2, np.int32), keys.view(np.int64), ratios), []
+                sizes = sizes.values.to_numpy()
+                word, before, times = (_unsqueezed(x, int(sizes.sum())) for x in (a, b, times.as_py()))
+                r = vocabulary.ratios(table, word, before)
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                out.append((ids.values.to_numpy(), np.add.reduceat(r * times, starts), np.add.reduceat(times.astype(np.int64), starts), np.maximum.reduceat(r, starts)))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["__row", "total", "n", "most"])
+
+    return run
+
+
+class Vocabulary:
+    """All words and contexts of a model, numbered; the number after the last stands for what no training text holds."""
+
+    def __init__(self, parts: list[Evidence]):
+        both = Evidence.together(parts)
+        self.keys = np.unique(np.concatenate([np.empty(0, np.uint64), *(t[0] for k in (0, 1) for t in both.tables[k])]))
+        self.word = np.append(both._of(1, self.keys, both.unknown), both.unknown)
+        self.context = np.append(both._of(0, self.keys, 0.0), 0.0)
+
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, hashes).astype(np.uint32)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == hashes[known]
+        at[~known] = len(self.keys)
+        return at
+
+    def ratios(self, pairs: Evidence, word: np.ndarray, before: np.ndarray) -> np.ndarray:
+        """As Evidence.ratios(), of numbered words."""
+        out, n = np.full(len(word), np.nan), len(self.keys)
+        known = np.flatnonzero((word < n) & (before < n))
+        out[known] = pairs._of(2, pair_keys(self.keys[before[known]], self.keys[word[known]]), np.nan)
+        rest = np.flatnonzero(np.isnan(out))
+        out[rest] = self.word[word[rest]] + self.context[before[rest]]
+        return np.rint(out * GRID) / GRID
+
+
 def sent(model: DataFrame, n: int) -> list:
     """The n rows of class_models() as broadcasts of Evidence of about PART_ROWS rows at most, by ranges of key; the driver holds one at a time."""
     bits = max(0, math.ceil(math.log2(max(n, 1) / PART_ROWS)))
@@ -322,8 +445,10 @@ def sent(model: DataFrame, n: int) -> list:
 def featured(model: DataFrame, broadcast_rows: int = 16_000_000) -> tuple[Callable[[DataFrame], DataFrame], Callable[[], None]]:
     """Of a table with a text, all other columns and the text's features x0, x1, by the rows of class_models(); and what to call once all such tables are written.
 
-    A model of at most `broadcast_rows` is sent to the tasks and its table deleted; beyond, the
-    distinct pairs of each text are joined with it. The features are the same: ratios are multiples of 1 / GRID, so that
+    A model of at most `broadcast_rows` is sent to the tasks and its table deleted; beyond, only its
+    words are, and the distinct pairs of each text are dealt out once, as packed numbers of words, to
+    the parts of the model that know them (with over VOCABULARY_ROWS words: joined, a row a pair).
+    The features are the same: ratios are multiples of 1 / GRID, so that
     their sums are exact. The call at the end frees the model: a table that isn't written would hold
     its broadcasts in the driver for as long as anybody holds the table.
     """
@@ -344,7 +469,30 @@ def featured(model: DataFrame, broadcast_rows: int = 16_000_000) -> tuple[Callab
                 b.destroy()
 
         return by_broadcast, destroyed
+    rest = written(model.where("kind <> 2"), "vocabulary")
+    m = rest.count()
+    if m <= VOCABULARY_ROWS:
+        swept(model.sparkSession)
+        shared, bits = sent(rest, m), max(0, math.ceil(math.log2(max(n - m, 1) / BUCKET_ROWS)))
+
+        def by_buckets(rows: DataFrame) -> DataFrame:
+            # equal texts have equal features: a text's hash stands for it, so that no text is written or dealt out
+            rows = rows.withColumn("__row", F.xxhash64("text"))
+            asked = rows.select("__row", "text").mapInArrow(_asked(shared, bits), _PACKED)
+            offered = model.where("kind = 2").select("key", "ratio").mapInArrow(_offered(bits), _PACKED)
+            dealt = offered.unionByName(asked).repartitionById(2**bits, F.col("bucket")).sortWithinPartitions("bucket", "asked")
+            sums = dealt.mapInArrow(_answered(shared), "__row bigint, total double, n bigint, most double")
+            sums = sums.groupBy("__row").agg((F.sum("total") / F.sum("n")).alias("x0"), F.max("most").alias("x1"))
+            return rows.join(sums, "__row", "left").select(*others(rows.drop("__row")), *(F.coalesce(x, F.lit(0.0)).alias(x) for x in ("x0", "x1")))
+
+        def all_freed() -> None:
+            for b in shared:
+                b.destroy()
+            dropped(model, rest)
+
+        return by_buckets, all_freed
     unknown = (model.where("kind = 3").first() or {"ratio": 0.0})["ratio"]
+    dropped(rest)
     of = lambda kind, key: model.where(F.col("kind") == kind).select(F.col("key").alias(key), F.col("ratio").cast("double").alias(f"r{kind}"))
 
     read = [model]
@@ -372,7 +520,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, held_out: Column | No
     The same rows give the same scores in whatever order or number of partitions they come. The
     models hold all n-grams of the labelled rows; they are counted, smoothed and calibrated in
     Spark. Up to `broadcast_rows` ratios go through the driver in parts of bounded size; beyond,
-    the texts' pairs are joined with them. The features of all rows are written before this returns,
+    the texts' pairs are dealt out to them. The features of all rows are written before this returns,
     so that the result holds no model.
     """
     docs = pick(docs, "doc_id", "text")

@@ -312,6 +312,35 @@ def test_toxicity_by_joins_equals_that_by_broadcast(spark, monkeypatch):
     assert sorted(map(repr, toxicity.toxicity_scores(rows, marks, broadcast_rows=10).collect())) == one
 
 
+def test_toxicity_beyond_broadcast_deals_out_little(spark, monkeypatch):
+    # a row a pair, dealt out three times, took several times the texts' size
+    rng = random.Random(7)
+    word = lambda: f"word{int(rng.paretovariate(0.6)) % 3000}"
+    texts = [" ".join(word() for _ in range(300)) + (" foul" if i % 4 == 0 else "") for i in range(120)]
+    rows = spark.createDataFrame([*enumerate(texts), (200, texts[3]), (201, None), (202, "")], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(120)], "doc_id long, toxic int")
+    one = sorted(map(repr, toxicity.toxicity_scores(rows, marks).collect()))
+    sizes, real = spark.sparkContext.accumulator(0), toxicity._asked
+
+    def asked(*args):
+        run = real(*args)
+
+        def measured(batches):
+            for batch in run(batches):
+                sizes.add(sum(len(x or b"") for c in (4, 5, 6) for x in batch.column(c).to_pylist()) + 8 * sum(len(x) for x in batch.column(2).to_pylist()))
+                yield batch
+
+        return measured
+
+    monkeypatch.setattr(toxicity, "_asked", asked)
+    monkeypatch.setattr(toxicity, "BUCKET_ROWS", 5_000)
+    assert sorted(map(repr, toxicity.toxicity_scores(rows, marks, broadcast_rows=10).collect())) == one
+    # the texts are asked for twice at most: those of the calibration, and all
+    assert 0 < sizes.value < 1.5 * sum(map(len, texts))
+    monkeypatch.setattr(toxicity, "VOCABULARY_ROWS", 10)
+    assert sorted(map(repr, toxicity.toxicity_scores(rows, marks, broadcast_rows=10).collect())) == one
+
+
 def test_toxicity_result_holds_no_model(spark, monkeypatch):
     # else a caller that keeps one result while it makes the next has two models in the driver
     rng = random.Random(6)
