@@ -88,6 +88,19 @@ def test_facts():
     assert decoded("é".encode("latin-1"), "latin-1") == "é" and decoded('<meta charset="latin-1">é'.encode("latin-1"), "no-codec").endswith("é") and decoded(b"\xef\xbb\xbfx") == "x"
 
 
+def test_texts_are_whole():
+    long = " ".join(f"w{i}" for i in range(2000))
+    got = page_facts(f"<title>{long}</title><h1>{'<b>x</b>' * 200}</h1><a href='/p'>{long}<br></a><img src='http://[{'s' * 200}'>", "https://e.example/")
+    assert got["titles"] == [long] == [got["title_source"]] and got["headings"][0]["text"] == " ".join("x" * 200)
+    assert got["links"][0]["text"] == long and got["images"][0]["src"] == f"http://[{'s' * 200}"
+    # whole texts still take linear time: a link or heading ends at the next, a title holds its markup as text
+    for part in ("<a href=x>x", "<h2><div>x", "<title><b>x", "<noscript>x", "<div id=root>x"):
+        began = time.time()
+        page_facts(part * 20_000, "https://e.example/")
+        assert time.time() - began < 5, part
+    assert [x["text"] for x in page_facts("<a href=x>one<a href=y>two</a>", "https://e.example/")["links"]] == ["one", "two"]
+
+
 def test_shells():
     shell = '<html><body><div id="root"></div><script src="/app.js"></script><noscript>You need JavaScript.</noscript></body></html>'
     assert page_facts(shell)["is_shell"] and {s.split(":")[0] for s in page_facts(shell)["render_signals"]} >= {"empty-mount-element", "empty-body-containers", "noscript-javascript-notice"}
