@@ -248,9 +248,9 @@ def sitemap_rules(v: Views) -> DataFrame:
     return _union(out)
 
 
-def duplicates(v: Views, column: str, folded: str) -> DataFrame:
+def duplicates(v: Views, column: str, folded: str, value: Column | None = None) -> DataFrame:
     """(audit_id, value, pages): values that several indexable pages share, unless all resolve to one canonical."""
-    value = F.trim(f"content.{folded}")
+    value = F.trim(f"content.{folded}") if value is None else value
     rows = v.audited.where("not noindex_any").withColumn("value", value).where("value <> ''")
     target = F.when(F.col("canonical_raw").isNull() | (F.col("canonical_raw") == ""), F.col("final_url")).otherwise(F.coalesce("canonical", F.lit("no address")))
     rows = rows.select("audit_id", "value", "seq", "final_url", target.alias("target"), F.get(f"content.{column}", F.lit(0)).alias("shown"))

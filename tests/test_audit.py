@@ -269,3 +269,17 @@ def test_cli(spark, tmp_path, capsys):
     folder = tmp_path / "out" / "127.0.0.1_8000"
     assert json.loads((folder / "audit.json").read_text())["score"]["overall"] == 82 and (folder / "audit.md").exists()
     assert cli.main(["not a url", "--responses", "x"], spark) == 2 and cli.main(["https://e.example/"], spark) == 2 and cli.main([f"{BASE}/", "--responses", str(tmp_path / "none")], spark) == 3
+
+
+def test_titles_equal_their_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    from sitelens.plans.audit_queries import ORACLES, QUERIES
+
+    titles = [f"<title>{t}</title>" for t in ("Stra\u00dfe", "strasse", "Strasse", "STRA\u00dfE", " a\n b&amp", "a b&amp", 'q &quot;x&quot; &lt;&amp;', "x" * 301, "x" * 302, "x" * 301, "&#65; &gt;", "")]
+    pages = [(i, f"https://e.example/{i}", f"<html><head>{t}</head><body></body></html>") for i, t in enumerate([*titles, "", "<title>open"])] + [(99, "https://e.example/99", None)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    for name in ("page_titles", "duplicate_titles"):
+        got = QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.sql(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall())), name
