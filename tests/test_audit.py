@@ -12,7 +12,7 @@ from site_data import BASE, EXPECTED, answer, captured, described, page, sample_
 
 from sitelens import cli
 from sitelens.audit import run_audits
-from sitelens.functions import http
+from sitelens.functions import facts, http
 from sitelens.functions.facts import decoded, page_facts, parsed, read_json_ld
 from sitelens.functions.robots import disallows_everything, parse_robots, ruling, verdict, wildcard_match
 from sitelens.functions.sitemaps import SitemapError, parse_sitemap, read_sitemap
@@ -283,3 +283,14 @@ def test_titles_equal_their_sql(spark, tmp_path):
     for name in ("page_titles", "duplicate_titles"):
         got = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, con.sql(f"select {', '.join(got.columns)} from ({ORACLES[name]})").fetchall())), name
+
+
+def test_facts_come_in_pieces():
+    # facts of many links take far more room than their pages: a batch is never held as a whole
+    import pyarrow as pa
+
+    html = "<a href='/x'>x</a>" * 10_000
+    batch = pa.record_batch([pa.array(range(20)), pa.array(["https://e.example/"] * 20), pa.array([html] * 18 + [None, ""]), pa.nulls(20, pa.string())], names=["key", "url", "body", "charset"])
+    got = list(facts._facts(iter([batch])))
+    assert [k for b in got for k in b.column(0).to_pylist()] == list(range(20))
+    assert max(b.num_rows for b in got) < 10 and sum(len(x["links"]) for b in got for x in b.column(1).to_pylist()) == 180_000
