@@ -139,10 +139,10 @@ def with_directives(pages: DataFrame) -> DataFrame:
     return pages.withColumn("canonical", F.when(F.col("canonical_raw") != "", resolved(F.col("canonical_raw"), F.col("final_url")))).withColumn("has_content", F.col("content").isNotNull())
 
 
-def views(audits: DataFrame, responses: DataFrame) -> Views:
+def views(audits: DataFrame, responses: DataFrame, max_bytes: int = 5_000_000) -> Views:
     """The views of a crawl replayed over captured responses. audits: with limits, see sources.captured."""
-    rows, answers = replayed(audits, responses)
-    rows, answers = settled(rows, "replay"), settled(answers, "answers")
+    rows, answers = replayed(audits, responses, max_bytes)
+    rows = settled(rows, "replay")
     run = rows.where("kind = 'audit'").select("audit_id", F.from_json("extra", _FLAGS).alias("f")).select("audit_id", "f.*")
     audits = settled(audits.join(run, "audit_id").withColumn("site_host", host_of(F.col("site_url"))), "audits")
     of = lambda kind: rows.where(F.col("kind") == kind)

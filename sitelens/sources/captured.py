@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sitelens.functions import http
 from sitelens.functions.urls import resolved
+from sitelens.sources.tables import settled
 
 RESPONSES = "audit_id string, url string, status_code int, headers map<string,string>, body binary, error string, error_kind string"
 # The default limits of a run.
@@ -34,7 +35,8 @@ def followed(responses: DataFrame, max_redirects: int = 5) -> DataFrame:
     """(audit_id, requested_url, final_url, status_code, redirect_chain, error, error_kind) of each address, redirects followed.
 
     Each round joins what still redirects with the answer it leads to, so there are max_redirects
-    + 1 joins of shrinking tables at most, and bodies stay out of them. An address that comes again
+    + 1 joins of shrinking tables at most, and bodies stay out of them. Answers and each round are
+    written, so that no round is done again for the next. An address that comes again
     is a redirect-loop, one too many too-many-redirects, a Location that means no http(s) address
     invalid-redirect; a target that was not captured counts as a connection failure. These have no
     status and end where they failed.
@@ -42,6 +44,7 @@ def followed(responses: DataFrame, max_redirects: int = 5) -> DataFrame:
     location = F.col("headers")["location"]
     answers = responses.select("audit_id", "url", "status_code", "error", "error_kind", F.when(F.col("status_code").isin(http.REDIRECTS), location).alias("location"))
     answers = answers.withColumn("next", F.when(F.col("location").isNotNull(), resolved(F.col("location"), F.col("url"))))
+    answers = settled(answers, "answered")
     hop = F.struct(F.col("url"), F.col("status_code"))
     state = answers.select("audit_id", F.col("url").alias("requested_url"), "url", "status_code", "error", "error_kind", "location", "next", F.array().cast("array<struct<url:string,status_code:int>>").alias("chain"))
     done = []
@@ -58,13 +61,17 @@ def followed(responses: DataFrame, max_redirects: int = 5) -> DataFrame:
         lost = moving.where("failed is not null").withColumn("error_kind", F.col("failed")).withColumn("error", F.replace("failed", F.lit("-"), F.lit(" "))).withColumn("status_code", F.lit(None).cast("int"))
         done.append(lost.select(*light))
         to = answers.select(F.col("audit_id").alias("a"), F.col("url").alias("u"), *(F.col(c).alias(f"{c}_") for c in ("status_code", "error", "error_kind", "location", "next")))
-        state = moving.where("failed is null").join(to, (F.col("audit_id") == F.col("a")) & (F.col("next") == F.col("u")), "left")
+        moving = moving.where("failed is null")
+        if moving.isEmpty():
+            break
+        state = moving.join(to, (F.col("audit_id") == F.col("a")) & (F.col("next") == F.col("u")), "left")
         absent = F.col("u").isNull()
         state = state.select(
             "audit_id", "requested_url", F.col("next").alias("url"), F.col("status_code_").alias("status_code"),
             F.when(absent, "not captured").otherwise(F.col("error_")).alias("error"), F.when(absent, "connection").otherwise(F.col("error_kind_")).alias("error_kind"),
             F.col("location_").alias("location"), F.col("next_").alias("next"), "chain",
         )
+        state = settled(state, "hops")
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

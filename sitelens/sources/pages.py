@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitelens.sources.tables import settled
+
 _HEAD = """concat(
   if(page_id % 3 = 0, concat('<meta name="description" content="About ', page_id % 5, '">'), ''),
   case page_id % 4 when 0 then concat('<link rel="canonical" href="/c/', page_id, '">') when 1 then '<link rel="canonical" href="https://other.example/x">' else '' end,
@@ -34,6 +36,7 @@ def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decorated_pages(spark, sf_dir).withColumn("url", F.regexp_replace(normalized("url"), "^http:", "https:")).where("url is not null")
     rows = rows.withColumn("audit_id", host_of(F.col("url"))).withColumn("home", F.concat(F.lit("https://"), "audit_id", F.lit("/"))).where("url <> home")
     rows = rows.groupBy("audit_id", "home", "url").agg(F.min(F.struct("page_id", "html")).alias("first")).select("audit_id", "home", "url", "first.*").withColumn("p", F.col("page_id") % 13)
+    rows = settled(rows, "captured")  # eight parts read it, and many tables those
     path = lambda name: F.concat(F.lit(f"/{name}-"), F.col("page_id").cast("string"))
     at = lambda name: F.concat(F.expr("substring(home, 1, length(home) - 1)"), path(name))
     own = F.expr("case when p = 1 then 404 when p in (2, 5, 6) then 301 when p = 3 then 500 when p = 4 then 403 else 200 end")
@@ -53,6 +56,7 @@ def captured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     link = lambda x: F.concat(F.lit('<a href="'), F.replace(x["url"], F.lit("&"), F.lit("&amp;")), F.lit('">page '), x["page_id"].cast("string"), F.lit("</a> "))
     loc = lambda x: F.concat(F.lit("<url><loc>"), F.replace(x["url"], F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
     hosts = rows.groupBy("audit_id", "home").agg(in_order(F.col("page_id") % 5 != 4, link).alias("links"), in_order((F.col("page_id") % 3 != 0) | (F.col("page_id") % 5 == 4), loc).alias("locs"))
+    hosts = settled(hosts, "hosts")
     page = F.concat(F.lit("<html><head><title>All pages of the site</title></head><body><h1>All</h1><p><a href='/blocked/x'>blocked</a> "), "links", F.lit("</p></body></html>"))
     rules = F.concat(F.lit("User-agent: *\nDisallow: /blocked/\n\nUser-agent: GPTBot\nDisallow: /\n\nSitemap: "), "home", F.lit("sitemap.xml\n"))
     parts += [

@@ -294,3 +294,15 @@ def test_facts_come_in_pieces():
     got = list(facts._facts(iter([batch])))
     assert [k for b in got for k in b.column(0).to_pylist()] == list(range(20))
     assert max(b.num_rows for b in got) < 10 and sum(len(x["links"]) for b in got for x in b.column(1).to_pylist()) == 180_000
+
+
+def test_crawl_reads_pages_once_and_without_limits(spark, tmp_path):
+    from sitelens.plans import audit_queries
+    from sitelens.sources.pages import captured_pages
+
+    pages = [(i, f"http://e.example/{i}", f"<html><head><title>{i}</title></head><body><article></article></body></html>") for i in range(30)]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    answers = captured_pages(spark, str(tmp_path))
+    assert answers.count() > 30 and not any("pages.parquet" in f for f in answers.inputFiles())
+    limits = audit_queries._crawl(spark, str(tmp_path)).audits.first()
+    assert min(limits.max_pages, limits.max_link_checks, limits.max_sitemap_urls) > 10**9
